@@ -215,7 +215,7 @@ def level(name: str, by: tuple[str, ...]) -> str:
 # --- recommendations ------------------------------------------------------------------------
 
 STEP = "INTERVAL 12 HOUR"
-IDLE_CPU = "700.0e0"
+IDLE_CPU = "500.0e0"
 PROFILE_TEXTS = {
     "fine_rows": fine_rows("fx_samples", "exact"),
     "specs": SPECS,
@@ -265,7 +265,7 @@ LEFT JOIN (SELECT {WORKLOAD}, max(run_seconds) AS idle_seconds FROM runs GROUP B
 SELECT *, CASE WHEN idle_seconds >= 172800 THEN 'idle'
                WHEN growth_steps >= 20 AND growth_share >= 0.5e0 AND growth_slope > 0 THEN 'anomalous'
                WHEN peak_ratio >= 4.0e0 AND idle_share >= 0.3e0 THEN 'batch'
-               WHEN peak_ratio >= 2.0e0 OR variation >= 0.5e0 THEN 'burstable' ELSE 'steady' END AS pattern
+               WHEN peak_ratio >= 6.5e0 OR variation >= 0.75e0 THEN 'burstable' ELSE 'steady' END AS pattern
 FROM features""",
 }
 RECOMMENDATIONS_TEXTS = PROFILE_TEXTS | {

@@ -31,7 +31,15 @@ INCREMENTAL_TIERS = replace(EXACT_TIERS, mode=INCREMENTAL)
 CLOCK = datetime(2024, 1, 28, 12, 0, 0)
 FIXED_CLOCK = replace(EXACT_TIERS, as_of=CLOCK)
 FIXED_CLOCK_INCREMENTAL = replace(FIXED_CLOCK, mode=INCREMENTAL)
-SIZES = Sizing(step_seconds=12 * HOUR, idle_cpu_millis=700.0, growth_share=0.5, growth_min_steps=20)
+# thresholds under which the fixture shows every pattern
+SIZES = Sizing(
+    step_seconds=12 * HOUR,
+    idle_cpu_millis=500.0,
+    growth_share=0.5,
+    growth_min_steps=20,
+    burst_peak_ratio=6.5,
+    burst_variation=0.75,
+)
 DOMAIN = "sizing.example"
 CREATED_AT = "2024-02-01 10:20:30"
 
