@@ -85,7 +85,7 @@ def format_memory(size: Column) -> Column:
 
 # The same rules as SQL temporary functions, so that SQL users stay on JVM expressions.
 _SQL_NUMBER = f"CASE WHEN {{0}} RLIKE r'{_NUMBER}' THEN try_cast({{0}} AS DOUBLE) END"
-_SQL_TEXT = r"btrim(q, ' \t\n\u000b\f\r\u0085\u00a0')"
+_SQL_TEXT = r"btrim(q, ' \t\n\u000b\u000c\r\u0085\u00a0')"
 
 
 def register_sql(spark: SparkSession) -> None:
