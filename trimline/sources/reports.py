@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trimline.operators.rollups import OWNER, cluster, with_owner, workloads
+from trimline.operators.rollups import OWNER, cluster, with_owner
 from trimline.operators.waste import pod_waste, waste_totals
 from trimline.schemas import POD
 
@@ -76,15 +76,22 @@ def pod_documents(containers: DataFrame) -> DataFrame:
     )
 
 
-def _in_parts(pods: DataFrame, group: list[str], chunk_pods: int) -> DataFrame:
-    """Give each pod row its group's totals, part count and own part."""
-    totals = pods.groupBy(*group).agg(
-        F.ceil(F.count(F.lit(1)) / chunk_pods).cast("bigint").alias("parts"),
-        F.sum("total_cpu_waste_millis").alias("group_cpu"),
-        F.sum("total_mem_waste_bytes").alias("group_mem"),
+def _large(pods: DataFrame, group: list[str], chunk_pods: int) -> DataFrame:
+    """Size and totals of groups above ``chunk_pods`` pods, prefixed by ``large_``.
+
+    There are fewer than ``pods / chunk_pods`` of them, which bounds the broadcast.
+    """
+    sizes = pods.groupBy(*group).agg(
+        F.count(F.lit(1)).alias("large_pods"),
+        F.sum("total_cpu_waste_millis").alias("large_cpu"),
+        F.sum("total_mem_waste_bytes").alias("large_mem"),
     )
-    return pods.join(totals, group).withColumn(
-        "part", F.pmod(F.xxhash64(*POD), F.col("parts"))
+    return F.broadcast(sizes.filter(F.col("large_pods") > chunk_pods))
+
+
+def _parts(chunk_pods: int) -> Column:
+    return F.coalesce(
+        F.ceil(F.col("large_pods") / chunk_pods).cast("bigint"), F.lit(1).cast("bigint")
     )
 
 
@@ -92,10 +99,18 @@ def node_report_documents(
     containers: DataFrame, report_time: str, chunk_pods: int = CHUNK_PODS
 ) -> DataFrame:
     """JSON node reports: node_name, part, parts, document."""
+    pods = pod_documents(containers)
     chunks = (
-        _in_parts(pod_documents(containers), ["node_name"], chunk_pods)
-        .groupBy("node_name", "part", "parts", "group_cpu", "group_mem")
-        .agg(F.array_sort(F.collect_list("pod")).alias("pods"))
+        pods.join(_large(pods, ["node_name"], chunk_pods), ["node_name"], "left")
+        .withColumn("parts", _parts(chunk_pods))
+        .withColumn("part", F.pmod(F.xxhash64(*POD), F.col("parts")))
+        .groupBy("node_name", "part", "parts")
+        .agg(
+            F.array_sort(F.collect_list("pod")).alias("pods"),
+            # a node in one part has all its pods here
+            F.coalesce(F.max("large_cpu"), F.sum("total_cpu_waste_millis")).alias("cpu"),
+            F.coalesce(F.max("large_mem"), F.sum("total_mem_waste_bytes")).alias("mem"),
+        )
     )
     return chunks.select(
         "node_name",
@@ -106,8 +121,8 @@ def node_report_documents(
                 F.col("node_name").alias("nodeName"),
                 rfc3339(F.lit(report_time).cast("timestamp")).alias("reportTime"),
                 F.col("pods"),
-                F.col("group_cpu").alias("totalCpuWasteMillis"),
-                F.col("group_mem").alias("totalMemWasteBytes"),
+                F.col("cpu").alias("totalCpuWasteMillis"),
+                F.col("mem").alias("totalMemWasteBytes"),
             )
         ).alias("document"),
     )
@@ -141,39 +156,59 @@ def cluster_report_documents(
     a part list the containers of the part's pods, with the pod count and totals of the whole
     owner. Recommendations are documents of their own, see :func:`recommendation_documents`.
     """
-    pods = _in_parts(
-        with_owner(pod_documents(containers)), ["pod_namespace"], chunk_pods
+    pods = with_owner(pod_documents(containers))
+    spaces = _large(pods, ["pod_namespace"], chunk_pods)
+    owners = _large(pods, list(OWNER), chunk_pods)
+    renamed = owners.select(
+        *OWNER, *[F.col(f"large_{c}").alias(f"owner_{c}") for c in ("pods", "cpu", "mem")]
+    )
+    # an owner stays within one part unless it is large itself
+    spread = F.when(F.col("owner_pods").isNotNull(), F.xxhash64(*POD)).otherwise(
+        F.xxhash64(*OWNER)
     )
-    part = ["pod_namespace", "part", "parts", "group_cpu", "group_mem"]
-    owner_totals = workloads(pod_waste(containers))
+    part = ["pod_namespace", "part", "parts"]
     pieces = (
-        pods.groupBy(*part, "owner_kind", "owner_name")
-        .agg(F.flatten(F.array_sort(F.collect_list("pod.containers"))).alias("containers"))
-        .join(owner_totals, list(OWNER))
+        pods.join(spaces, ["pod_namespace"], "left")
+        .join(F.broadcast(renamed), list(OWNER), "left")
+        .withColumn("parts", _parts(chunk_pods))
+        .withColumn("part", F.pmod(spread, F.col("parts")))
+        .groupBy(*part, "owner_kind", "owner_name")
+        .agg(
+            F.array_sort(F.collect_list("pod")).alias("pods"),
+            F.coalesce(F.max("owner_pods"), F.count(F.lit(1))).alias("pod_count"),
+            F.sum("total_cpu_waste_millis").alias("piece_cpu"),
+            F.sum("total_mem_waste_bytes").alias("piece_mem"),
+            F.max("owner_cpu").alias("owner_cpu"),
+            F.max("owner_mem").alias("owner_mem"),
+            F.max("large_cpu").alias("large_cpu"),
+            F.max("large_mem").alias("large_mem"),
+        )
     )
-    owners = pieces.groupBy(*part).agg(
+    listed = pieces.groupBy(*part).agg(
+        F.array_sort(F.flatten(F.collect_list("pods"))).alias("pods"),
         F.array_sort(
             F.collect_list(
                 F.struct(
                     _owner("owner_kind", "owner_name", "pod_namespace").alias("owner"),
                     F.col("pod_count").alias("podCount"),
-                    F.col("containers"),
-                    F.col("total_cpu_waste_millis").alias("totalCpuWasteMillis"),
-                    F.col("total_mem_waste_bytes").alias("totalMemWasteBytes"),
+                    F.flatten(F.col("pods.containers")).alias("containers"),
+                    F.coalesce("owner_cpu", "piece_cpu").alias("totalCpuWasteMillis"),
+                    F.coalesce("owner_mem", "piece_mem").alias("totalMemWasteBytes"),
                 )
             )
-        ).alias("owners")
+        ).alias("owners"),
+        F.coalesce(F.max("large_cpu"), F.sum("piece_cpu")).alias("cpu"),
+        F.coalesce(F.max("large_mem"), F.sum("piece_mem")).alias("mem"),
     )
-    listed = pods.groupBy(*part).agg(F.array_sort(F.collect_list("pod")).alias("pods"))
     namespace = F.struct(
         F.col("pod_namespace").alias("namespace"),
         F.col("pods"),
         F.col("owners"),
-        F.col("group_cpu").alias("totalCpuWasteMillis"),
-        F.col("group_mem").alias("totalMemWasteBytes"),
+        F.col("cpu").alias("totalCpuWasteMillis"),
+        F.col("mem").alias("totalMemWasteBytes"),
     )
     totals = cluster(pod_waste(containers)).select(F.struct("*").alias("totals")).scalar()
-    rows = listed.join(owners, part).withColumn("totals", totals)
+    rows = listed.withColumn("totals", totals)
     return rows.select(
         "pod_namespace",
         "part",
