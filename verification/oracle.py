@@ -376,12 +376,13 @@ FROM (SELECT *, lag(value) OVER (PARTITION BY metric, label_from, label_to ORDER
 # --- manifests: the text is rebuilt with the expected values instead of being edited ------------
 
 EDITED = r"""
-SELECT p_partkey, path, resource, cpu_value, mem_value, recommended_limit,
+SELECT *, matches AND (req <> old OR (recommended_limit > 0 AND lim <> old)) AS editable FROM (
+SELECT p_partkey, path, resource, cpu_value, mem_value, recommended_limit, CASE WHEN resource = 'cpu' THEN cpu_value ELSE mem_value END AS old,
        CASE WHEN resource = 'cpu' THEN REQ_CPU ELSE REQ_MEM END AS req,
        CASE WHEN resource = 'cpu' THEN LIM_CPU ELSE LIM_MEM END AS lim,
        resource = 'cpu' AND cpu_value = '0.5' AS odd,
-       CASE WHEN resource = 'cpu' THEN cpu_value <> '0.5' ELSE mem_value <> '134217728' END AS editable
-FROM fx_manifests"""
+       CASE WHEN resource = 'cpu' THEN cpu_value <> '0.5' ELSE mem_value <> '134217728' END AS matches
+FROM fx_manifests)"""
 EDITED = (
     EDITED.replace("REQ_CPU", fmt_cpu("recommended_request"))
     .replace("REQ_MEM", fmt_memory("recommended_request"))
@@ -467,7 +468,7 @@ FROM (SELECT o_orderkey, o_custkey, cast(round(o_totalprice * 1048576 / 50) AS b
     ),
     "pod_documents": with_views("SELECT * FROM specs", "fx_pod_specs", specs=SPECS),
     "container_waste": waste(
-        f"SELECT * REPLACE ({rounding(WASTE_DOUBLES, 6)}) FROM container_waste"
+        f"SELECT * REPLACE ({rounding(WASTE_DOUBLES, 3)}) FROM container_waste"
     ),
     "pod_waste": waste(
         f"SELECT * REPLACE ({rounding(['total_cpu_waste_millis', 'total_mem_waste_bytes'], 6)}) FROM pod_waste"
@@ -541,7 +542,7 @@ QUALIFY row_number() OVER (PARTITION BY node_name ORDER BY report_time DESC, seq
     ),
     "node_report_totals": with_views(
         """
-SELECT count(*) AS node_count, round(sum(total_cpu_waste_millis), 2) AS total_cpu_waste_millis, round(sum(total_mem_waste_bytes), 2) AS total_mem_waste_bytes
+SELECT count(*) AS node_count, round(sum(total_cpu_waste_millis), 0) AS total_cpu_waste_millis, round(sum(total_mem_waste_bytes), 0) AS total_mem_waste_bytes
 FROM (SELECT * FROM fx_node_reports QUALIFY row_number() OVER (PARTITION BY node_name ORDER BY report_time DESC, seq DESC) = 1)""",
         "fx_node_reports",
     ),

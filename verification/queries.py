@@ -294,7 +294,7 @@ def _(spark, sf):
 
 @query("container_waste")
 def _(spark, sf):
-    return rounded(_containers(spark, sf))
+    return rounded(_containers(spark, sf), 3)
 
 
 @query("pod_waste")
@@ -378,7 +378,7 @@ def _(spark, sf):
 
 @query("node_report_totals")
 def _(spark, sf):
-    return rounded(reports.cluster_totals(reports.latest_per_node(view(spark, sf, "fx_node_reports"))), 2)
+    return rounded(reports.cluster_totals(reports.latest_per_node(view(spark, sf, "fx_node_reports"))), 0)
 
 
 @query("node_report_documents")
