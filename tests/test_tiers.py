@@ -55,11 +55,11 @@ def got(summary):
 
 @pytest.mark.parametrize("kind", ["regular", "jittered", "gapped", "dense"])
 @pytest.mark.parametrize("mode", [EXACT, INCREMENTAL])
-@pytest.mark.parametrize("hot_rows", [1_000_000, 10])
-def test_summary_matches_closed_form(spark, kind, mode, hot_rows):
+@pytest.mark.parametrize("hot_rows, hot_bucket_rows", [(10**6, 10**6), (10, 10**6), (10, 3)])
+def test_summary_matches_closed_form(spark, kind, mode, hot_rows, hot_bucket_rows):
     rows = series(kind)
     shuffled = random.Random(2).sample(rows, len(rows))
-    t = Tiering(mode=mode, hot_rows=hot_rows)
+    t = Tiering(mode=mode, hot_rows=hot_rows, hot_bucket_rows=hot_bucket_rows)
     assert got(series_summary(samples(spark, shuffled), t)) == pytest.approx(brute(rows, mode), rel=1e-12)
 
 
@@ -68,7 +68,7 @@ def test_summary_matches_closed_form(spark, kind, mode, hot_rows):
 def test_fixed_clock(spark, mode, hot_rows):
     rows = series("dense")
     clock = T0 + timedelta(hours=20, minutes=2)
-    t = Tiering(mode=mode, as_of=clock, hot_rows=hot_rows)
+    t = Tiering(mode=mode, as_of=clock, hot_rows=hot_rows, hot_bucket_rows=5)
     seen = [r for r in rows if r[0] <= clock]
     assert got(series_summary(samples(spark, rows), t)) == pytest.approx(brute(seen, mode, clock), rel=1e-12)
 
@@ -170,7 +170,7 @@ def test_many_series_hot_and_ordinary_together(spark):
         frame = frame.unionByName(f)
     for mode in (EXACT, INCREMENTAL):
         ordinary = series_summary(frame, Tiering(mode=mode)).orderBy(*SERIES).collect()
-        mixed = series_summary(frame, Tiering(mode=mode, hot_rows=400)).orderBy(*SERIES).collect()
+        mixed = series_summary(frame, Tiering(mode=mode, hot_rows=400, hot_bucket_rows=6)).orderBy(*SERIES).collect()
         assert ordinary == mixed and len(ordinary) == 6
 
 

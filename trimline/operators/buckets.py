@@ -13,7 +13,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trimline.functions.clock import MICROS, epoch_us, floor_us, like_input
-from trimline.operators.percentiles import small_aggregate, split_aggregate
+from trimline.operators.percentiles import (
+    large_groups,
+    small_aggregate,
+    split_aggregate,
+    split_by,
+)
 from trimline.params import EXACT, Tiering
 from trimline.schemas import METRICS, SERIES
 
@@ -101,7 +106,7 @@ def fine_level(samples: DataFrame, t: Tiering) -> DataFrame:
     rows = slim(samples, t)
     small, large = (assign_tier(part, t) for part in with_clock(rows, t))
     if t.mode == EXACT:
-        return _ranked(small, large)
+        return _ranked(small, large, t)
     live = F.col("tier") == LIVE
     if t.as_of is not None:
         # one scan and one map-side combined shuffle; nothing here depends on the series
@@ -109,16 +114,20 @@ def fine_level(samples: DataFrame, t: Tiering) -> DataFrame:
     else:
         settled = small.filter(~live).unionByName(large.filter(~live))
     return _merged_singletons(settled).unionByName(
-        _ranked(small.filter(live), large.filter(live))
+        _ranked(small.filter(live), large.filter(live), t)
     )
 
 
-def _ranked(small: DataFrame, large: DataFrame) -> DataFrame:
-    edges = [F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")]
-    ranked = small_aggregate(small, _BUCKET, METRICS, edges).unionByName(
-        split_aggregate(large, _BUCKET, METRICS, edges)
+def _ranked(small: DataFrame, large: DataFrame, t: Tiering) -> DataFrame:
+    """Exact buckets. Buckets of hot series are grouped like any other, except huge ones."""
+    edges = [F.expr("min(ts_us) AS first_us"), F.expr("max(ts_us) AS last_us")]
+    rest, huge = split_by(large, large_groups(large, _BUCKET, t.hot_bucket_rows), _BUCKET)
+    ranked = (
+        small_aggregate(small, _BUCKET, METRICS, edges)
+        .unionByName(small_aggregate(rest, _BUCKET, METRICS, edges))
+        .unionByName(split_aggregate(huge, _BUCKET, METRICS, edges))
     )
-    return ranked.withColumns({f"{p}_wsum": F.col(f"{p}_p50") * F.col("n") for p in PREFIXES})
+    return ranked.selectExpr("*", *[f"{p}_p50 * n AS {p}_wsum" for p in PREFIXES])
 
 
 def _merged_singletons(settled: DataFrame) -> DataFrame:

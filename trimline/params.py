@@ -18,8 +18,9 @@ class Tiering:
     P95 and P99 the largest sample).
 
     ``as_of`` fixes the clock for all series; ``None`` lets each series run on its own latest
-    sample. ``hot_rows`` is the row count from which a series or group is handled by the
-    split path instead of by one task.
+    sample. ``hot_rows`` is the row count from which a series is handled by the split path
+    instead of by one task: over four years of samples at 30 seconds. ``hot_bucket_rows`` is
+    the row count from which one bucket of such a series is ranked without gathering it.
     """
 
     raw_seconds: int = 300
@@ -29,7 +30,8 @@ class Tiering:
     coarse_keep_seconds: int = 604_800
     mode: str = EXACT
     as_of: datetime | None = None
-    hot_rows: int = 1_000_000
+    hot_rows: int = 5_000_000
+    hot_bucket_rows: int = 200_000
 
     def __post_init__(self) -> None:
         if self.mode not in (EXACT, INCREMENTAL):
@@ -38,8 +40,8 @@ class Tiering:
             raise ValueError("coarse_seconds must be a multiple of fine_seconds")
         if 86_400 % self.coarse_seconds:
             raise ValueError("coarse_seconds must divide a day")
-        if self.hot_rows < 1:
-            raise ValueError("hot_rows must be positive")
+        if self.hot_rows < 1 or self.hot_bucket_rows < 1:
+            raise ValueError("hot_rows and hot_bucket_rows must be positive")
 
 
 @dataclass(frozen=True)

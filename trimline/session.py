@@ -9,8 +9,6 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
-    # percentile buffers are small (one bucket each): hash many of them before sorting instead
-    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
     # finished streams must see the output of their last watermark
     "spark.sql.streaming.noDataMicroBatches.enabled": "true",
 }

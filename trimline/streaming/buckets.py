@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trimline.operators.buckets import PREFIXES, merge_aggregates, with_mean_p50
-from trimline.operators.percentiles import RANKS, rank_aggregates
+from trimline.operators.percentiles import nearest_ranks, sorted_values
 from trimline.params import EXACT, Tiering
 from trimline.schemas import METRICS, SERIES
 
@@ -24,12 +24,8 @@ def fine_stream(samples: DataFrame, t: Tiering, lateness: str = "7 days") -> Dat
     count = F.count(F.lit(1)).alias("n")
     maxima = [F.max(c).alias(f"{p}_max") for c, p in METRICS.items()]
     if t.mode == EXACT:
-        buckets = grouped.agg(count, *maxima, *rank_aggregates(METRICS))
-        spread = {
-            f"{p}_{rank}": F.col(f"{p}_ranks")[i] for p in PREFIXES for i, rank in enumerate(RANKS)
-        }
-        buckets = buckets.withColumns(spread).drop(*[f"{p}_ranks" for p in PREFIXES])
-        return buckets.withColumns({f"{p}_wsum": F.col(f"{p}_p50") * F.col("n") for p in PREFIXES})
+        ranked = nearest_ranks(grouped.agg(count, *maxima, *sorted_values(METRICS)), PREFIXES)
+        return ranked.withColumns({f"{p}_wsum": F.col(f"{p}_p50") * F.col("n") for p in PREFIXES})
     buckets = grouped.agg(count, *maxima, *[F.sum(c).alias(f"{p}_wsum") for c, p in METRICS.items()])
     columns = {}
     for p in PREFIXES:

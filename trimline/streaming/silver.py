@@ -47,7 +47,7 @@ def exact_buckets(samples: DataFrame, touched: DataFrame, t: Tiering) -> DataFra
         touched, [*_KEY, "day"], "left_semi"
     )
     edges = rows.groupBy(*_KEY).agg(F.min(ts).alias("first_us"), F.max(ts).alias("last_us"))
-    ranked = metric_aggregate(rows, list(_KEY), METRICS, t.hot_rows)
+    ranked = metric_aggregate(rows, list(_KEY), METRICS)
     return (
         ranked.join(edges, list(_KEY))
         .withColumns({f"{p}_wsum": F.col(f"{p}_p50") * F.col("n") for p in PREFIXES})

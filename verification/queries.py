@@ -152,7 +152,7 @@ QUERIES["series_summary_fixed_clock_incremental"] = lambda spark, sf: _summary(
     spark, sf, FIXED_CLOCK_INCREMENTAL
 )
 QUERIES["series_summary_hot"] = lambda spark, sf: _summary(
-    spark, sf, replace(EXACT_TIERS, hot_rows=100)
+    spark, sf, replace(EXACT_TIERS, hot_rows=100, hot_bucket_rows=30)
 )
 
 
