@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tests.helpers import T0, Replay, floor, nearest_rank, samples
-from trimline.operators.buckets import buckets, merge_buckets, tier_counts
+from trimline.operators.buckets import buckets, in_order, merge_buckets, tier_counts
 from trimline.operators.percentiles import metric_aggregate
 from trimline.operators.series import series_keys, series_summary
 from trimline.params import EXACT, INCREMENTAL, Tiering
@@ -112,6 +112,15 @@ def test_boundaries_stay_in_the_younger_tier(spark):
         assert found == expected, age
 
 
+def test_buckets_in_order(spark):
+    listed = in_order(buckets(samples(spark, series("regular")), Tiering())).collect()
+    tiers = [r.tier for r in listed]
+    assert tiers == sorted(tiers, key=["coarse", "fine", "live"].index) and set(tiers) == {"coarse", "fine", "live"}
+    for tier in ("coarse", "fine"):
+        starts = [r.bucket_start for r in listed if r.tier == tier]
+        assert starts == sorted(starts)
+
+
 def test_single_sample_and_single_fine_bucket_windows(spark):
     assert series_summary(samples(spark, [(T0, 1)]), Tiering()).first().data_window_ns == 0
     two = samples(spark, [(T0, 1), (T0 - timedelta(minutes=10), 2)])

@@ -23,6 +23,8 @@ MEMORY_SUFFIXES = {
 
 _NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 _SUFFIX = "(" + "|".join(MEMORY_SUFFIXES) + ")$"
+# a map literal: looked up once per value, where a CASE chain would repeat the suffix match
+_FACTORS = "map(" + ", ".join(f"'{k}', {float(v)!r}D" for k, v in MEMORY_SUFFIXES.items()) + ")"
 _BLANKS = " \t\n\x0b\f\r\x85\xa0"
 
 GI = 1 << 30
@@ -60,9 +62,7 @@ def memory_bytes(quantity: Column) -> Column:
     """``256Mi`` -> 268435456, ``1k`` -> 1000; anything unreadable -> 0."""
     text = _strip(quantity)
     suffix = F.regexp_extract(text, _SUFFIX, 1)
-    factor = F.lit(1.0)
-    for name, multiplier in MEMORY_SUFFIXES.items():
-        factor = F.when(suffix == name, F.lit(float(multiplier))).otherwise(factor)
+    factor = F.coalesce(F.try_element_at(F.expr(_FACTORS), suffix), F.lit(1.0))
     return _whole(_number(F.regexp_replace(text, _SUFFIX, "")) * factor)
 
 
@@ -92,17 +92,14 @@ def register_sql(spark: SparkSession) -> None:
     """Create ``cpu_millis``, ``memory_bytes``, ``format_cpu`` and ``format_memory`` in SQL."""
     stem = f"regexp_replace({_SQL_TEXT}, r'm$', '')"
     amount = f"regexp_replace({_SQL_TEXT}, r'{_SUFFIX}', '')"
-    factors = " ".join(
-        f"WHEN '{name}' THEN {float(multiplier)!r}D" for name, multiplier in MEMORY_SUFFIXES.items()
-    )
     bodies = {
         "cpu_millis(q STRING) RETURNS BIGINT": f"""
             coalesce(try_cast(CASE WHEN {_SQL_TEXT} LIKE '%m' THEN {_SQL_NUMBER.format(stem)}
                               ELSE {_SQL_NUMBER.format(_SQL_TEXT)} * 1000D END AS BIGINT), 0)""",
         "memory_bytes(q STRING) RETURNS BIGINT": f"""
             coalesce(try_cast({_SQL_NUMBER.format(amount)} *
-                              CASE regexp_extract({_SQL_TEXT}, r'{_SUFFIX}', 1) {factors}
-                              ELSE 1D END AS BIGINT), 0)""",
+                              coalesce(try_element_at({_FACTORS}, regexp_extract({_SQL_TEXT}, r'{_SUFFIX}', 1)), 1D)
+                              AS BIGINT), 0)""",
         "format_cpu(q BIGINT) RETURNS STRING": """
             CASE WHEN q % 1000 = 0 THEN string(q div 1000) ELSE concat(string(q), 'm') END""",
         "format_memory(q BIGINT) RETURNS STRING": f"""

@@ -201,6 +201,12 @@ def buckets(samples: DataFrame, t: Tiering) -> DataFrame:
     )
 
 
+def in_order(listed: DataFrame) -> DataFrame:
+    """Buckets by series, then coarse, fine and live, then start; for presentation."""
+    order = F.array_position(F.array(*[F.lit(x) for x in (COARSE, FINE, LIVE)]), F.col("tier"))
+    return listed.orderBy(*SERIES, order, "bucket_start")
+
+
 def tier_counts(samples: DataFrame, t: Tiering) -> DataFrame:
     """Samples per series and tier; expired ones are not counted."""
     rows = slim(samples, t)
