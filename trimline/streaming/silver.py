@@ -68,8 +68,8 @@ def start_silver(
     A sample may be late by any age within the retention: in ``incremental`` mode it becomes one
     more partial row, in ``exact`` mode its bucket is recomputed from bronze.
     """
-    bronze = spark.read.parquet(bronze_path)
-    stream = spark.readStream.schema(bronze.schema).parquet(bronze_path)
+    schema = spark.read.parquet(bronze_path).schema
+    stream = spark.readStream.schema(schema).parquet(bronze_path)
 
     def upsert(batch: DataFrame, batch_id: int) -> None:
         if t.mode == EXACT:
@@ -80,8 +80,27 @@ def start_silver(
             rows = partial_buckets(batch, t)
         write_batch(rows, silver_path, batch_id)
 
+    return _start(stream, upsert, checkpoint, interval_ms)
+
+
+def start_partial_silver(
+    samples: DataFrame,
+    silver_path: str,
+    checkpoint: str,
+    t: Tiering,
+    interval_ms: int | None = 300_000,
+) -> StreamingQuery:
+    """Follow any sample stream in ``incremental`` mode; needs no bronze table."""
+
+    def append(batch: DataFrame, batch_id: int) -> None:
+        write_batch(partial_buckets(batch, t), silver_path, batch_id)
+
+    return _start(samples, append, checkpoint, interval_ms)
+
+
+def _start(stream: DataFrame, write, checkpoint: str, interval_ms: int | None) -> StreamingQuery:
     return (
-        stream.writeStream.foreachBatch(upsert)
+        stream.writeStream.foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(**trigger_of(interval_ms))
         .start()

@@ -31,15 +31,17 @@ RAW, FINE, COARSE = "INTERVAL 1 HOUR", "INTERVAL 12 HOUR", "INTERVAL 1 DAY"
 FINE_KEEP, COARSE_KEEP = "INTERVAL 7 DAY", "INTERVAL 21 DAY"
 
 
-def tiered(source: str, as_of: str | None = None, fine_keep=FINE_KEEP, coarse_keep=COARSE_KEEP) -> str:
+def tiered(
+    source: str, as_of: str | None = None, fine_keep=FINE_KEEP, coarse_keep=COARSE_KEEP, raw=RAW
+) -> str:
     if as_of is None:
         clocks = f"SELECT {KEYS}, max(ts) AS clock FROM {source} GROUP BY {KEYS}"
         base = f"SELECT s.*, c.clock FROM {source} s JOIN ({clocks}) c USING ({KEYS})"
     else:
         base = f"SELECT *, TIMESTAMP '{as_of}' AS clock FROM {source} WHERE ts <= TIMESTAMP '{as_of}'"
     return f"""
-SELECT *, CASE WHEN tier = 'live' THEN clock - {RAW} ELSE fine_start END AS bucket FROM (
-  SELECT *, CASE WHEN ts >= clock - {RAW} THEN 'live'
+SELECT *, CASE WHEN tier = 'live' THEN clock - {raw} ELSE fine_start END AS bucket FROM (
+  SELECT *, CASE WHEN ts >= clock - {raw} THEN 'live'
                  WHEN fine_start >= clock - {fine_keep} THEN 'fine'
                  WHEN time_bucket({COARSE}, fine_start) >= clock - {coarse_keep} THEN 'coarse' END AS tier
   FROM (SELECT *, time_bucket({FINE}, ts) AS fine_start FROM ({base})))
@@ -691,3 +693,30 @@ FROM part"""
 ORACLES["parse_quantities"] = (
     f"SELECT p_partkey, {cpu('cpu_text')} AS cpu_millis, {memory('mem_text')} AS memory_bytes FROM ({_QUANTITY_TEXTS})"
 )
+
+
+def streamed(width: str, wait: str, exact: bool = False) -> str:
+    """Buckets of ``width`` that are closed once the last sample has been seen."""
+    p50 = "quantile_disc(cpu_nano, 0.5)" if exact else "sum(cpu_nano) / count(*)"
+    p95, p99 = (f"quantile_disc(cpu_nano, {q})" if exact else "max(cpu_nano)" for q in (0.95, 0.99))
+    return with_views(
+        f"""
+SELECT {KEYS}, time_bucket({width}, ts) AS bucket_start, count(*) AS sample_count, round(CAST({p50} AS DOUBLE), 3) AS cpu_p50,
+       CAST({p95} AS DOUBLE) AS cpu_p95, CAST({p99} AS DOUBLE) AS cpu_p99, CAST(max(cpu_nano) AS DOUBLE) AS cpu_max
+FROM fx_dense WHERE {wait} GROUP BY {KEYS}, time_bucket({width}, ts)""",
+        "fx_dense",
+    )
+
+
+def _closed(width: str) -> str:
+    return f"time_bucket({width}, ts) + {width} <= (SELECT max(ts) - INTERVAL 1 DAY FROM fx_dense)"
+
+
+ORACLES["stream_fine_buckets"] = streamed("INTERVAL 6 HOUR", _closed("INTERVAL 6 HOUR"))
+ORACLES["stream_fine_buckets_exact"] = streamed("INTERVAL 6 HOUR", _closed("INTERVAL 6 HOUR"), exact=True)
+ORACLES["stream_coarse_buckets"] = streamed("INTERVAL 1 DAY", _closed("INTERVAL 1 DAY"))
+ORACLES["silver_summary"] = with_views(
+    f"SELECT s.*, w.data_window_ns FROM (SELECT {KEYS}, {merged()} FROM fine_rows GROUP BY {KEYS}) s JOIN ({WINDOWS}) w USING ({KEYS})",
+    "fx_dense",
+    fine_rows=fine_rows("fx_dense", "incremental", "2024-01-29 00:00:00", raw="INTERVAL 12 HOUR"),
+)

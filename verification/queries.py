@@ -6,6 +6,8 @@ fates of a sample (live, fine, coarse, expired) occur and percentiles differ fro
 
 from __future__ import annotations
 
+import tempfile
+import uuid
 from collections.abc import Callable
 from dataclasses import replace
 from datetime import datetime
@@ -23,7 +25,9 @@ from trimline.params import EXACT, INCREMENTAL, Sizing, Tiering
 from trimline.plans import report, rightsize, views
 from trimline.schemas import POD_LIST_DOCUMENT, SERIES, USAGE_DOCUMENT
 from trimline.sources import kubelet, reports
-from verification.fixtures import sql, view
+from trimline.streaming.buckets import coarse_stream, fine_stream
+from trimline.streaming.silver import read_silver, start_partial_silver, summary_from_silver
+from verification.fixtures import VIEWS, sql, view
 
 HOUR, DAY = 3600, 86_400
 EXACT_TIERS = Tiering(HOUR, 12 * HOUR, 7 * DAY, DAY, 21 * DAY, EXACT)
@@ -653,3 +657,81 @@ def _(spark, sf):
 @query("latest_gauge")
 def _(spark, sf):
     return counters.latest_gauge(view(spark, sf, "fx_counters"), _LABELS)
+
+
+# --- streams over the events table, run until all of it is read ------------------------------
+
+STREAM_TIERS = replace(INCREMENTAL_TIERS, fine_seconds=6 * HOUR)
+SILVER_TIERS = replace(
+    INCREMENTAL_TIERS, as_of=datetime(2024, 1, 29, 0, 0, 0), raw_seconds=12 * HOUR
+)
+
+
+def _work_folder(spark: SparkSession) -> str:
+    """A new folder in the cluster's shared checkpoint folder; a local one only where none is set."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    return f"{shared or tempfile.gettempdir()}/trimline-{uuid.uuid4().hex}"
+
+
+def _dense_stream(spark: SparkSession, sf: str) -> DataFrame:
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    name = f"events_{uuid.uuid4().hex}"
+    # as a glob the path may be one file or a folder of files
+    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
+    stream.createOrReplaceTempView(name)
+    samples = spark.sql(VIEWS["fx_dense"].replace("FROM events", f"FROM {name}"))
+    spark.catalog.dropTempView(name)
+    return samples
+
+
+def _run_to_table(spark: SparkSession, buckets_of_stream: DataFrame) -> DataFrame:
+    """Append closed windows to parquet until the input is exhausted, then read them."""
+    folder = _work_folder(spark)
+    flat = buckets_of_stream.select(
+        *SERIES,
+        F.col("w.start").alias("bucket_start"),
+        F.col("n").alias("sample_count"),
+        *[f"cpu_{k}" for k in ("p50", "p95", "p99", "max")],
+    )
+    stream = (
+        flat.writeStream.format("parquet")
+        .outputMode("append")
+        .option("path", f"{folder}/out")
+        .option("checkpointLocation", f"{folder}/checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+    stream.awaitTermination()
+    found = spark.read.parquet(f"{folder}/out")
+    return rounded(found.withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz")), 3)
+
+
+@query("stream_fine_buckets")
+def _(spark, sf):
+    return _run_to_table(spark, fine_stream(_dense_stream(spark, sf), STREAM_TIERS, "1 day"))
+
+
+@query("stream_fine_buckets_exact")
+def _(spark, sf):
+    tiers = replace(STREAM_TIERS, mode=EXACT)
+    return _run_to_table(spark, fine_stream(_dense_stream(spark, sf), tiers, "1 day"))
+
+
+@query("stream_coarse_buckets")
+def _(spark, sf):
+    fine = fine_stream(_dense_stream(spark, sf), STREAM_TIERS, "1 day")
+    return _run_to_table(spark, coarse_stream(fine, STREAM_TIERS))
+
+
+@query("silver_summary")
+def _(spark, sf):
+    """Summary from a streamed silver table and the live tail of the samples."""
+    folder = _work_folder(spark)
+    start_partial_silver(
+        _dense_stream(spark, sf), f"{folder}/silver", f"{folder}/checkpoint", SILVER_TIERS, None
+    ).awaitTermination()
+    silver = read_silver(spark, f"{folder}/silver", SILVER_TIERS)
+    return rounded(
+        summary_from_silver(silver, dense(spark, sf), SILVER_TIERS).drop("window_start", "window_end"), 3
+    )
