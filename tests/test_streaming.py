@@ -187,15 +187,17 @@ def test_silver_clock_must_lie_on_a_bucket(spark):
         summary_from_silver(empty, empty, Tiering())
 
 
-def test_periodic_reports(spark, tmp_path):
-    land(tmp_path / "usage", "a.json", [usage(T0, 150_000_000)])
+@pytest.mark.parametrize("history, pods", [(8, 1), (None, 2)])
+def test_periodic_reports(spark, tmp_path, history, pods):
+    (tmp_path / "usage").mkdir()
     land(tmp_path / "pods", "a.json", [pod_list("1")])
     bronze, out = str(tmp_path / "bronze"), str(tmp_path / "reports")
-    for name, at in (("a.json", T0), ("b.json", T0 + timedelta(seconds=30))):
-        land(tmp_path / "usage", name, [usage(at, 150_000_000)])
+    rounds = (("0.json", T0 - timedelta(days=40), "gone"), ("a.json", T0, "web-abc-x"), ("b.json", T0 + timedelta(seconds=30), "web-abc-x"))
+    for name, at, pod in rounds:
+        land(tmp_path / "usage", name, [usage(at, 150_000_000, pod)])
         run(start_ingest(spark, str(tmp_path / "usage"), str(tmp_path / "pods"), bronze, str(tmp_path / "cp1"), None))
-        run(start_reports(spark, bronze, out, str(tmp_path / "cp2"), Tiering(), None))
+        run(start_reports(spark, bronze, out, str(tmp_path / "cp2"), Tiering(), None, history))
     reports = spark.read.parquet(out)
-    assert reports.count() == 2
+    assert reports.count() == 3
     newest = latest_per_node(reports.drop("batch_id")).collect()
-    assert [(r.node_name, r.pod_count, r.total_cpu_waste_millis, r.seq) for r in newest] == [("n1", 1, 850.0, 1)]
+    assert [(r.node_name, r.pod_count, r.total_cpu_waste_millis, r.seq) for r in newest] == [("n1", pods, 850.0, 2)]

@@ -31,18 +31,26 @@ def start_reports(
     checkpoint: str,
     t: Tiering,
     interval_ms: int | None = 300_000,
+    history_days: int | None = 8,
 ) -> StreamingQuery:
     """Every interval with new samples, report all nodes that sent some.
 
     Rows go to ``reports_path`` as ``batch_id`` partitions; the newest row of a node is its
-    report.
+    report. Only bronze days from ``history_days`` before the batch on are read: a day more than
+    the retention covers every live series. ``None`` reads all days and so keeps reporting
+    series that stopped long ago.
     """
     schema = spark.read.parquet(bronze_path).schema
     stream = spark.readStream.schema(schema).parquet(bronze_path)
 
     def report(batch: DataFrame, batch_id: int) -> None:
         nodes = batch.select("node_name").distinct()
-        samples = read_samples(spark, bronze_path, t).join(nodes, "node_name", "left_semi")
+        samples = read_samples(spark, bronze_path, t)
+        if history_days is not None:
+            # a scalar subquery, evaluated first and used to prune day partitions
+            first = batch.select(F.date_sub(F.to_date(F.min("ts")), history_days)).scalar()
+            samples = samples.filter(F.col("day") >= first)
+        samples = samples.join(nodes, "node_name", "left_semi")
         now = datetime.now(timezone.utc).replace(tzinfo=None)
         rows = node_totals(samples, t, now).withColumn("seq", F.lit(batch_id).cast("bigint"))
         write_batch(rows, reports_path, batch_id, partitions=())

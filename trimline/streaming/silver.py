@@ -163,12 +163,15 @@ def summary_from_silver(silver: DataFrame, tail: DataFrame, t: Tiering) -> DataF
     return summarise(tiered.drop("ts_us").unionByName(live), t)
 
 
-def compact(spark: SparkSession, path: str, target: str, t: Tiering) -> None:
-    """Write the merged table to ``target`` as batch -1, one file group per day."""
+def compact(
+    spark: SparkSession, path: str, target: str, t: Tiering, files_per_day: int = 8
+) -> None:
+    """Write the merged table to ``target`` as batch -1, at most ``files_per_day`` files a day."""
     merged = read_silver(spark, path, t).withColumn(
         "day", F.to_date(F.timestamp_micros("bucket_us"))
     )
-    write_batch(merged.repartition("day", *SERIES), target, -1)
+    file = F.pmod(F.xxhash64(*SERIES), F.lit(files_per_day))
+    write_batch(merged.repartition(F.col("day"), file), target, -1)
 
 
 def drop_days_before(spark: SparkSession, path: str, first_kept_day: str) -> list[str]:

@@ -640,12 +640,12 @@ _LABELS = ["label_from", "label_to"]
 
 @query("counter_rate")
 def _(spark, sf):
-    return rounded(counters.counter_rate(view(spark, sf, "fx_counters"), _LABELS, HOUR, HOUR))
+    return rounded(counters.counter_rate(view(spark, sf, "fx_counters"), _LABELS, HOUR, 300))
 
 
 @query("counter_increase")
 def _(spark, sf):
-    return rounded(counters.counter_increase(view(spark, sf, "fx_counters"), _LABELS, DAY, HOUR))
+    return rounded(counters.counter_increase(view(spark, sf, "fx_counters"), _LABELS, DAY))
 
 
 @query("increase_by_labels")
