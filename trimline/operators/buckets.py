@@ -28,15 +28,15 @@ PREFIXES = tuple(METRICS.values())
 _BUCKET = [*SERIES, "clock_us", "tier", "bucket_us"]
 
 
-def slim(samples: DataFrame, t: Tiering) -> DataFrame:
+def slim(samples: DataFrame, t: Tiering, keep_seconds: int | None = None) -> DataFrame:
     """Keys, epoch time and the three metrics only, cut to the retention range of a fixed clock.
 
-    The cut is a plain range on ``ts`` so that it reaches the scan.
+    The cut is a plain range on ``ts`` so that it reaches the scan. ``keep_seconds`` narrows it.
     """
     if t.as_of is not None:
         kind = samples.schema["ts"].dataType.simpleString()
         now = F.lit(t.as_of.isoformat(sep=" ")).cast(kind)
-        oldest = now - F.expr(f"INTERVAL {t.coarse_keep_seconds} SECONDS")
+        oldest = now - F.expr(f"INTERVAL {keep_seconds or t.coarse_keep_seconds} SECONDS")
         samples = samples.filter((F.col("ts") <= now) & (F.col("ts") >= oldest))
     return samples.select(
         # never NULL, so joins on the keys need no extra filters and equal plans can be reused
@@ -103,19 +103,25 @@ def assign_tier(rows: DataFrame, t: Tiering) -> DataFrame:
 
 def fine_level(samples: DataFrame, t: Tiering) -> DataFrame:
     """All fine-level rows of all series."""
-    rows = slim(samples, t)
-    small, large = (assign_tier(part, t) for part in with_clock(rows, t))
-    if t.mode == EXACT:
-        return _ranked(small, large, t)
     live = F.col("tier") == LIVE
-    if t.as_of is not None:
-        # one scan and one map-side combined shuffle; nothing here depends on the series
-        settled = assign_tier(rows.withColumn("clock_us", _as_of_us(t)), t).filter(~live)
-    else:
+    if t.mode == EXACT:
+        return _ranked(*_tiered(slim(samples, t), t), t)
+    if t.as_of is None:
+        small, large = _tiered(slim(samples, t), t)
         settled = small.filter(~live).unionByName(large.filter(~live))
-    return _merged_singletons(settled).unionByName(
-        _ranked(small.filter(live), large.filter(live), t)
-    )
+        ranked = _ranked(small.filter(live), large.filter(live), t)
+    else:
+        # one scan and one map-side combined shuffle; nothing here depends on the series
+        rows = slim(samples, t).withColumn("clock_us", _as_of_us(t))
+        settled = assign_tier(rows, t).filter(~live)
+        # the live tail is a second, narrow scan
+        ranked = _ranked(*_tiered(slim(samples, t, t.raw_seconds), t), t)
+    return _merged_singletons(settled).unionByName(ranked)
+
+
+def _tiered(rows: DataFrame, t: Tiering) -> tuple[DataFrame, DataFrame]:
+    small, large = with_clock(rows, t)
+    return assign_tier(small, t), assign_tier(large, t)
 
 
 def _ranked(small: DataFrame, large: DataFrame, t: Tiering) -> DataFrame:
