@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -54,6 +56,9 @@ def _edit(content: str, resource: str, request: str, limit: str | None) -> tuple
     return (content, True) if odd else ("\n".join(lines), False)
 
 
+# send the helpers with the function: executors then need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _RESULT = T.StructType(
     [T.StructField("content", T.StringType()), T.StructField("odd", T.BooleanType())]
 )

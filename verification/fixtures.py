@@ -55,14 +55,14 @@ SELECT concat('node-', cast(user_id % 4 AS string)) AS node_name,
        CASE WHEN event_type = 'click' THEN '' WHEN event_id % 2 = 0 THEN 'Deployment' ELSE 'StatefulSet' END AS owner_kind,
        CASE WHEN event_type = 'click' THEN '' ELSE concat('app-', cast(event_id % 30 AS string)) END AS owner_name
 FROM events""",
-    # spec changes over time, one stream of changes per pod
+    # spec changes over time: one an hour after each event of the pod
     "fx_spec_changes": """
 SELECT concat('ns-', cast(user_id % 6 AS string)) AS pod_namespace,
        concat('app-', cast(user_id % 30 AS string), '-7f8b9c-', cast(user_id AS string)) AS pod_name,
-       'main' AS container_name, ts, event_id AS seq,
+       'main' AS container_name, ts + INTERVAL 1 HOUR AS ts, event_id AS seq,
        100 + event_id % 900 AS cpu_request_millis,
        1000000 * (event_id % 700) AS mem_request_bytes
-FROM events WHERE event_type = 'purchase'""",
+FROM events""",
     # ids whose name part contains '_'; some source namespaces are empty, some sources unknown
     "fx_flux_inventory": """
 SELECT concat('ns', cast(c_custkey % 40 AS string), '_', replace(lower(c_name), '#', '_'), '_apps_',

@@ -578,7 +578,7 @@ SELECT {WORKLOAD}, pattern, n, steps, idle_seconds, round(idle_share, 4) AS idle
         f"SELECT {WORKLOAD}, growth_steps, round(growth_share, 4) AS growth_share, round(growth_slope, 4) AS growth_slope FROM growth"
     ),
     "recommendations": recs("SELECT * FROM recs"),
-    "recommendations_low_risk": recs("SELECT * FROM recs WHERE risk = 'MEDIUM' AND pod_namespace = 'ns-2'"),
+    "recommendations_filtered": recs("SELECT * FROM recs WHERE risk = 'MEDIUM' AND pod_namespace = 'ns-2'"),
     "recommendations_ranked": recs(
         """
 SELECT pod_namespace || '/' || owner_name AS target, container_name, resource, current_request, recommended_request, est_savings, risk,

@@ -476,7 +476,7 @@ def _(spark, sf):
     return _recommendations(spark, sf)
 
 
-@query("recommendations_low_risk")
+@query("recommendations_filtered")
 def _(spark, sf):
     return recommend.filter_recommendations(_recommendations(spark, sf), risk="medium", namespace="ns-2")
 
