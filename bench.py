@@ -34,20 +34,34 @@ HEADLINE = (
 )
 
 
+def shuffled(spark) -> int:
+    """Shuffle bytes written by all stages so far."""
+    context = spark.sparkContext
+    quantiles = context._gateway.new_array(context._jvm.double, 0)
+    stages = context._jsc.sc().statusStore().stageList(None, False, False, quantiles, None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
-    spark = local_session(cpus, int(cpus) if cpus.isdigit() else 8)
+    spark = local_session(
+        cpus,
+        int(cpus) if cpus.isdigit() else 8,
+        **{"spark.ui.retainedStages": "100000", "spark.ui.retainedJobs": "100000"},
+    )
 
     def run(name: str) -> float:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
-    seconds = {}
+    seconds, shuffle_bytes = {}, {}
     for name in HEADLINE:
         run(name)
+        before = shuffled(spark)
         seconds[name] = round(run(name), 3)
+        shuffle_bytes[name] = shuffled(spark) - before
     spark.stop()
     print(
         json.dumps(
@@ -56,6 +70,7 @@ def main() -> None:
                 "value": round(sum(seconds.values()), 3),
                 "unit": "sec",
                 "queries": seconds,
+                "shuffle_bytes": shuffle_bytes,
                 "sf": os.path.basename(os.path.normpath(sf_dir)).removeprefix("sf"),
             }
         )

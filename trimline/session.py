@@ -9,6 +9,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # manifest texts vary in size: bound a batch sent to Python by bytes, not only by rows
+    "spark.sql.execution.arrow.maxBytesPerBatch": "64m",
     # finished streams must see the output of their last watermark
     "spark.sql.streaming.noDataMicroBatches.enabled": "true",
 }
