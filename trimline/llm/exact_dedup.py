@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 
 from trimline.scratch import written
 
-#: Counters of the sketch, digests taken from it, and partial sketches merged in its last step.
-TRACKED, HEAVY, PARTIALS = 4096, 1000, 64
+#: Counters of a sketch, digests taken from all sketches, and sketches that share the digests.
+TRACKED, HEAVY, SKETCHES = 4096, 1000, 64
 
 
 def normalised(text: Column) -> Column:
@@ -29,13 +29,14 @@ def normalised(text: Column) -> Column:
 
 def _winners(rows: DataFrame, tracked: int, heavy: int) -> DataFrame:
     """(digest, keep_id, group_size) of at most ``heavy`` candidates, counted exactly."""
-    partial = rows.groupBy(F.pmod(F.col("digest_hash"), F.lit(PARTIALS)).alias("part"))
-    # digests are spread over the partial sketches, so every copy of one meets the same counters
-    sketches = partial.agg(F.expr(f"approx_top_k_accumulate(digest_hash, {tracked})").alias("sketch"))
-    top = sketches.agg(F.expr(f"approx_top_k_combine(sketch, {tracked})").alias("sketch"))
+    # digests are spread over the sketches, so all copies of one meet the same counters
+    sketches = rows.groupBy(F.pmod(F.col("digest_hash"), F.lit(SKETCHES)).alias("part"))
     candidates = (
-        top.select(F.explode(F.expr(f"approx_top_k_estimate(sketch, {heavy})")).alias("c"))
+        sketches.agg(F.expr(f"approx_top_k(digest_hash, {heavy}, {tracked})").alias("top"))
+        .select(F.explode("top").alias("c"))
         .filter("c.count > 1")
+        .orderBy(F.desc("c.count"), "c.item")
+        .limit(heavy)
         .select(F.col("c.item").alias("digest_hash"))
     )
     found = rows.join(F.broadcast(candidates), "digest_hash", "left_semi")
