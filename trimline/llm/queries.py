@@ -4,10 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trimline.llm import exact_dedup
+from trimline.llm import bpe, exact_dedup
 from trimline.llm.tables import table
 
 
+def vocabulary_file(name: str) -> str:
+    """Where the public vocabulary ``name`` lies on the driver."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digests(table(spark, sf_dir, "documents"), bpe.load(vocabulary_file("byte_bpe_50k.json")))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
@@ -15,6 +26,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op8_bpe,
         op10_exact_dedup,
     )
 }
