@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from trimline.llm import bpe, exact_dedup
+from trimline.llm import bpe, exact_dedup, url_filter
 from trimline.llm.tables import table
 
 
@@ -15,6 +15,10 @@ def vocabulary_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.load(vocabulary_file("byte_bpe_50k.json")))
 
@@ -26,6 +30,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
+        op5_url_filter,
         op8_bpe,
         op10_exact_dedup,
     )
