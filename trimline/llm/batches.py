@@ -7,9 +7,9 @@ from collections.abc import Iterator, Sequence
 from pyspark.sql import DataFrame
 
 #: Characters of text that one round of array work takes; a longer text is a piece of its own.
-CHARS = 1 << 20
+CHARS = 1 << 18
 #: Bytes of one Arrow batch, where the session names no bound.
-BATCH_BYTES = "32m"
+BATCH_BYTES = "4m"
 
 
 def bound_batches(df: DataFrame) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from trimline.llm.batches import bound_batches, pieces
 
 #: Pre-tokens whose ids a Python worker remembers, before it starts afresh.
-REMEMBERED = 400_000
+REMEMBERED = 150_000
 
 OTHER, LETTER, NUMBER, SPACE = range(4)
 
