@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trimline.llm import ann, bpe, exact_dedup, url_filter
+from trimline.llm import ann, bpe, exact_dedup, language_id, token_counts, url_filter
 from trimline.llm.tables import table
 
 
@@ -24,10 +24,23 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    pieces = language_id.load(vocabulary_file("piece_bpe_32k.model"))
+    model = language_id.fit(docs.filter(~language_id.held_out()), pieces)
+    rows = docs.select("doc_id", language_id.held_out().alias("held_out"), "text")
+    return language_id.predict(rows, model).drop("text")
+
+
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(table(spark, sf_dir, "documents"), bpe.load(vocabulary_file("byte_bpe_50k.json")))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, token_counts.load(vocabulary_file("piece_bpe_32k.model"))).drop("text")
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
@@ -37,7 +50,9 @@ QUERIES = {
     for f in (
         op1_ann,
         op5_url_filter,
+        op7_language_id,
         op8_bpe,
+        op9_token_counts,
         op10_exact_dedup,
     )
 }
