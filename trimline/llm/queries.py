@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trimline.llm import ann, bpe, exact_dedup, language_id, token_counts, url_filter
+from trimline.llm import ann, bpe, exact_dedup, language_id, mixing, simhash, token_counts, url_filter
 from trimline.llm.tables import table
 
 
@@ -20,6 +20,15 @@ def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, mixing.tempered(docs))
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
@@ -49,6 +58,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_ann,
+        op2_simhash,
+        op4_mixing,
         op5_url_filter,
         op7_language_id,
         op8_bpe,
