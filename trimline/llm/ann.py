@@ -31,7 +31,7 @@ from trimline.scratch import written
 TREES = 16
 LEAF_ROWS = 256
 SEARCH_ROWS = 40_000
-SAMPLE_ROWS = 32_768
+SAMPLE_ROWS = 16_384
 #: Numbers in the sample, whatever the length of a vector.
 SAMPLE_VALUES = 1 << 23
 CHUNK_ROWS = 20_000

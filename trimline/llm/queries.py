@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trimline.llm import ann, bpe, exact_dedup, language_id, mixing, simhash, token_counts, url_filter
+from trimline.llm import ann, bpe, exact_dedup, language_id, license_scan, mixing, simhash, token_counts, url_filter
 from trimline.llm.tables import table
 
 
@@ -33,6 +33,10 @@ def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"))
 
 
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     pieces = language_id.load(vocabulary_file("piece_bpe_32k.model"))
@@ -61,6 +65,7 @@ QUERIES = {
         op2_simhash,
         op4_mixing,
         op5_url_filter,
+        op6_license_scan,
         op7_language_id,
         op8_bpe,
         op9_token_counts,
