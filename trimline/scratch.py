@@ -6,6 +6,7 @@ that setting: it then gets a temporary folder of its own.
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -47,6 +48,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished stages: it does so when their plans are collected."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def clear(spark: SparkSession) -> None:
     """Delete what this session wrote, once no result that reads it is needed."""
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
