@@ -23,7 +23,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from trimline.llm.batches import bound_batches, pieces
@@ -278,9 +278,9 @@ class Scorer:
         return names, values
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """Add ``lang_pred`` and ``score`` (0 to 1), from the text alone; columns of these names are replaced."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def prediction(docs: DataFrame, model: Model, text_col: str = "text") -> Column:
+    """The struct (lang_pred, score from 0 to 1) of a text column of ``docs``, from the text alone."""
+    shared = bound_batches(docs).sparkSession.sparkContext.broadcast(model)
 
     @F.pandas_udf("lang_pred string, score double")
     def languages(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -294,11 +294,16 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
                 values += b
             yield pd.DataFrame({"lang_pred": names, "score": values})
 
+    return languages.asNondeterministic()(F.col(f"`{text_col}`"))
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """Add ``lang_pred`` and ``score``; columns of these names are replaced."""
     name = "__language"
-    rows = bound_batches(docs).withColumn(name, languages.asNondeterministic()(F.col(f"`{text_col}`")))
+    rows = docs.withColumn(name, prediction(docs, model, text_col))
     return rows.withColumns({c: F.col(f"{name}.{c}") for c in ("lang_pred", "score")}).drop(name)
 
 
-def held_out(id_col: str = "doc_id"):
+def held_out(id_col: str = "doc_id") -> Column:
     """The quarter of documents that nothing is learnt from."""
     return F.pmod(F.crc32(F.coalesce(F.col(f"`{id_col}`").cast("string"), F.lit(""))), F.lit(4)) == 2

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trimline.llm import ann, bpe, exact_dedup, language_id, license_scan, mixing, simhash, token_counts, url_filter
+from trimline.llm import ann, bpe, exact_dedup, language_id, license_scan, mixing, simhash, substring_dedup, token_counts, url_filter
 from trimline.llm.tables import table
 
 
@@ -24,6 +24,11 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source")
     return mixing.mix(docs, mixing.tempered(docs))
@@ -63,6 +68,7 @@ QUERIES = {
     for f in (
         op1_ann,
         op2_simhash,
+        op3_substring_dedup,
         op4_mixing,
         op5_url_filter,
         op6_license_scan,
