@@ -1,6 +1,13 @@
 import pytest
 
-from trimline.operators.manifests import NOTHING_CHANGED, NOTHING_CHANGED_IN_VALUES, UNSUPPORTED, edit_manifests
+from trimline.operators.manifests import (
+    NOTHING_CHANGED,
+    NOTHING_CHANGED_IN_VALUES,
+    OUTSIDE,
+    UNREADABLE,
+    UNSUPPORTED,
+    edit_manifests,
+)
 
 BLOCK = """spec:
   containers:
@@ -58,7 +65,7 @@ def test_errors(spark):
     assert edit(spark, "image: nginx\n").error == NOTHING_CHANGED
     assert edit(spark, "image: nginx\n", path="chart/values.yaml", field="resources").error == NOTHING_CHANGED_IN_VALUES
     assert edit(spark, "image: nginx\n", path="chart/values.yml").error == NOTHING_CHANGED
-    assert edit(spark, BLOCK.format("1", "1Gi", "1", "1Gi"), path="../x.yaml").error == "path escapes repo directory"
+    assert edit(spark, BLOCK.format("1", "1Gi", "1", "1Gi"), path="../x.yaml").error == OUTSIDE
     assert edit(spark, BLOCK.format("1", "1Gi", "1", "1Gi"), resource="disk").error == NOTHING_CHANGED
 
 
@@ -66,3 +73,15 @@ def test_values_file(spark):
     content = "replicaCount: 3\nresources:\n  requests:\n    cpu: 1000m\n    memory: 512Mi\n  limits:\n    cpu: 2000m\n"
     row = edit(spark, content, path="chart/values.yaml", field="resources.requests.cpu")
     assert row.new_content == content.replace("1000m", "250m").replace("2000m", "500m") and row.changed
+
+
+def test_a_file_without_content_is_an_error_row(spark):
+    row = edit(spark, None)
+    assert (row.error, row.new_content, row.changed) == (UNREADABLE, None, False)
+    assert edit(spark, "").error == NOTHING_CHANGED
+
+
+def test_an_odd_value_of_a_later_block_stops_the_edit(spark):
+    content = BLOCK.format("1", "1Gi", "2", "2Gi") + BLOCK.format("0.25", "1Gi", "2", "2Gi")
+    row = edit(spark, content)
+    assert (row.error, row.new_content) == (UNSUPPORTED, content)

@@ -69,10 +69,31 @@ def branch_name(prefix: Column, namespace: Column, name: Column, ts: Column) ->
     return F.concat(prefix, F.lit("/"), namespace, F.lit("-"), name, F.lit("-"), stamp)
 
 
+# The texts of change requests, whose wording readers of the requests rely on.
+CHANGE_TITLE = "chore: right-size %s/%s resources"
+CHANGE_ROW = "| %s %s | %s | %s |"
+CHANGE_BODY = """## Right-sizing: %s/%s
+
+**Namespace:** %s
+**Pattern:** %s
+**Confidence:** %s%%
+**Risk:** %s
+
+### Changes
+
+| Resource | Current | Recommended |
+|----------|---------|-------------|
+%s
+
+**Reasoning:** %s
+
+---
+%s
+"""
+
+
 def change_title(kind: Column, name: Column) -> Column:
-    return F.concat(
-        F.lit("chore: right-size "), F.lower(kind), F.lit("/"), name, F.lit(" resources")
-    )
+    return F.format_string(CHANGE_TITLE, F.lower(kind), name)
 
 
 def whole_percent(share: Column) -> Column:
@@ -98,37 +119,21 @@ def change_body(
 ) -> Column:
     """Markdown description of one recommendation, closed by ``footer``."""
 
+    is_cpu = resource == "cpu"
+
+    def shown(value: Column) -> Column:
+        return F.when(is_cpu, format_cpu(value)).otherwise(format_memory(value))
+
     def row(what: str, before: Column, after: Column) -> Column:
-        is_cpu = resource == "cpu"
-        return F.concat(
-            F.when(is_cpu, F.lit("| CPU ")).otherwise(F.lit("| Memory ")),
-            F.lit(f"{what} | "),
-            F.when(is_cpu, format_cpu(before)).otherwise(format_memory(before)),
-            F.lit(" | "),
-            F.when(is_cpu, format_cpu(after)).otherwise(format_memory(after)),
-            F.lit(" |"),
-        )
+        label = F.when(is_cpu, "CPU").otherwise("Memory")
+        return F.format_string(CHANGE_ROW, label, F.lit(what), shown(before), shown(after))
 
     # concat_ws skips NULLs, so the limit row is simply left out when there is no limit
-    return F.concat_ws(
+    rows = F.concat_ws(
         "\n",
-        F.concat(F.lit("## Right-sizing: "), kind, F.lit("/"), name),
-        F.lit(""),
-        F.concat(F.lit("**Namespace:** "), namespace),
-        F.concat(F.lit("**Pattern:** "), pattern),
-        F.concat(F.lit("**Confidence:** "), whole_percent(confidence), F.lit("%")),
-        F.concat(F.lit("**Risk:** "), risk),
-        F.lit(""),
-        F.lit("### Changes"),
-        F.lit(""),
-        F.lit("| Resource | Current | Recommended |"),
-        F.lit("|----------|---------|-------------|"),
         row("request", current_request, recommended_request),
         F.when(recommended_limit > 0, row("limit", current_limit, recommended_limit)),
-        F.lit(""),
-        F.concat(F.lit("**Reasoning:** "), reasoning),
-        F.lit(""),
-        F.lit("---"),
-        F.lit(footer),
-        F.lit(""),
     )
+    percent = whole_percent(confidence)
+    parts = [kind, name, namespace, pattern, percent, risk, rows, reasoning, F.lit(footer)]
+    return F.format_string(CHANGE_BODY, *[F.coalesce(p.cast("string"), F.lit("")) for p in parts])

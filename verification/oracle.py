@@ -641,7 +641,7 @@ FROM ({ONE_PER_TARGET}) r JOIN sources s ON s.namespace = r.pod_namespace AND lo
         f"""
 SELECT p_partkey, resource, {manifest(_set('cpu', 'req', 'cpu_value'), _set('memory', 'req', 'mem_value'),
        _set('cpu', 'lim', 'cpu_value', 'recommended_limit > 0'), _set('memory', 'lim', 'mem_value', 'recommended_limit > 0'))} AS new_content,
-       editable AS changed, CASE WHEN odd THEN 'unsupported resource value' WHEN NOT editable THEN 'no resource values found to modify' END AS error
+       editable AS changed, CASE WHEN odd THEN 'resource value of an unsupported form' WHEN NOT editable THEN 'manifest holds no resource value that differs' END AS error
 FROM edited""",
         fx_manifests=FX_MANIFESTS,
         edited=EDITED,
