@@ -44,8 +44,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """
     spark = df.sparkSession
     path = place(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.scratch_path = path
+    return table
+
+
+def discard(table: DataFrame) -> None:
+    """Delete a table that :func:`written` returned, once nothing that is still to run reads it."""
+    _delete(table.sparkSession, table.scratch_path)
 
 
 def release(spark: SparkSession) -> None:
@@ -57,5 +64,9 @@ def release(spark: SparkSession) -> None:
 def clear(spark: SparkSession) -> None:
     """Delete what this session wrote, once no result that reads it is needed."""
     for path in _WRITTEN.pop(spark.sparkContext.applicationId, []):
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
