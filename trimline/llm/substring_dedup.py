@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trimline.llm.batches import bound_batches, pieces
-from trimline.scratch import release, written
+from trimline.scratch import discard, release, written
 
 MIN_WORDS, GRAM = 20, 8
 #: Suffixes that share an anchor gram, up to which their subtree is built in memory.
@@ -190,6 +190,8 @@ def repeats(rows: DataFrame, min_words: int = MIN_WORDS, group_rows: int = GROUP
         .agg(F.collect_set(F.when(~large, gram)).alias("grams"), F.collect_set(F.when(large, gram)).alias("large"))
     )
     lists = written(lists, "candidates")
+    discard(found)
+    discard(several)
     release(spark)
     staged = written(rows.join(lists, "d", "left"), "staged")
     release(spark)
