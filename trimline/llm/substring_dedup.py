@@ -8,9 +8,10 @@ id, or further to the front of the same one. Words that such a repeat covers are
    once in the corpus cannot repeat. Only anchors are shuffled (about one for seven words), and the suffixes
    that start at anchors of other windows are never looked at again.
 2. *Prefix groups.* The remaining suffixes are grouped by their anchor gram, the prefix of their group.
-   A prefix that more than ``group_rows`` suffixes share is made longer, up to the whole window: such
-   suffixes are grouped by a 128-bit digest of ``min_words`` words and reduced before the shuffle, so a
-   passage that stands in a third of all documents never meets in one task.
+   A prefix that more than ``group_rows`` suffixes share is made longer: to all words of the anchor's
+   windows, by 128-bit digests that are reduced before the shuffle, which leaves one of equal suffixes. If
+   too many distinct ones are left, it becomes the whole window of ``min_words`` words, reduced likewise.
+   A passage that stands in a third of all documents thus never meets in one task.
 3. *Subtrees.* All other groups fit into memory. The suffix tree of a group is held as its sorted suffixes
    with the depth that neighbours share; runs of depth ``min_words`` or more are its deep internal nodes.
    Real words are compared. In each node the first occurrence stays and the others are repeats.
@@ -210,8 +211,8 @@ def repeats(rows: DataFrame, min_words: int = MIN_WORDS, group_rows: int = GROUP
                         out.append((g, batch["d"].iat[base + t], batch["k"].iat[base + t], f, words))
                 yield pd.DataFrame(out, columns=["gram", "d", "k", "first", "words"])
 
-    def digests(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """The windows of large groups, by the digest of all their words."""
+    def long_suffixes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """The suffixes of large groups, with the digest of all words of an anchor's windows."""
         import xxhash
 
         for batch in batches:
@@ -222,10 +223,22 @@ def repeats(rows: DataFrame, min_words: int = MIN_WORDS, group_rows: int = GROUP
                     if held[0] != t:
                         held = (t, set(batch["large"].iat[base + t]), texts[t].encode().split())
                     if g in held[1]:
-                        for s in range(f, f + m):
-                            digest = xxhash.xxh3_128_digest(b" ".join(held[2][s : s + min_words]))
-                            out.append((digest, batch["d"].iat[base + t], batch["k"].iat[base + t], s))
-                yield pd.DataFrame(out, columns=["digest", "d", "k", "first"])
+                        words = b" ".join(held[2][f : f + m + min_words - 1])
+                        digest = xxhash.xxh3_128_digest(words)
+                        out.append((g, digest, batch["d"].iat[base + t], batch["k"].iat[base + t], f, m, words))
+                yield pd.DataFrame(out, columns=["gram", "digest", "d", "k", "first", "n", "words"])
+
+    def windows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Every window of a suffix, by the digest of its words."""
+        import xxhash
+
+        for batch in batches:
+            out = []
+            for d, k, first, words in zip(batch["d"], batch["k"], batch["first"], batch["words"]):
+                split = words.split(b" ")
+                for s in range(len(split) - min_words + 1):
+                    out.append((xxhash.xxh3_128_digest(b" ".join(split[s : s + min_words])), d, k, first + s))
+            yield pd.DataFrame(out, columns=["digest", "d", "k", "first"])
 
     def trees(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         """Whole groups, as the partition is sorted by gram."""
@@ -245,15 +258,39 @@ def repeats(rows: DataFrame, min_words: int = MIN_WORDS, group_rows: int = GROUP
     kind = "d long, k long, first long, n long"
     columns = staged.select("d", "k", "text", "grams", "large")
     small = columns.filter(F.size("grams") > 0).mapInPandas(suffixes, "gram long, d long, k long, first long, words binary")
-    grouped = small.repartition(F.col("gram")).sortWithinPartitions("gram")
+    # large groups, the prefix made longer: first to all words of the anchor's windows. Equal suffixes are
+    # one, found before the shuffle; what follows the earliest of them is a repeat as a whole
+    long = columns.filter(F.size("large") > 0).mapInPandas(
+        long_suffixes, "gram long, digest binary, d long, k long, first long, n long, words binary"
+    )
+    long = written(long.withColumn("place", _place()), "long-suffixes")
+    member = F.struct("d", "k", "first", "words")
+    heads = long.groupBy("gram", "digest").agg(F.min("place").alias("earliest"), F.min_by(member, "place").alias("r"))
+    heads = written(heads, "distinct-suffixes")
+    known = heads.select("gram", "digest", "earliest", F.col("r.k").alias("head"))
+    copies = long.drop("words").join(known, ["gram", "digest"]).filter("place > earliest").select("d", "k", "first", "n")
+    # rows that repeat an id and differ elsewhere share the earliest place: each is looked at
+    level = long.join(known.withColumnRenamed("earliest", "place"), ["gram", "digest", "place"]).filter("k != head")
+    distinct = heads.select("gram", "r.*").unionByName(level.select("gram", "d", "k", "first", "words").distinct())
+    crowds = written(distinct.groupBy("gram").agg(F.count("*").alias("n")).filter(F.col("n") > group_rows), "crowds")
+    # groups of few distinct suffixes have their subtrees; in the rest the prefix becomes the whole window
+    few = distinct.join(crowds, "gram", "left_anti").select("gram", "d", "k", "first", "words")
+    many = distinct.join(crowds, "gram", "left_semi")
+    single = many.select("d", "k", "first", "words").mapInPandas(windows, "digest binary, d long, k long, first long")
+    single = written(single.withColumn("place", _place()), "windows")
+    earliest = written(single.groupBy("digest").agg(F.min("place").alias("earliest")), "earliest")
+    later = single.join(earliest, "digest").filter("place > earliest")
+
+    grouped = small.unionByName(few).repartition(F.col("gram")).sortWithinPartitions("gram")
     by_tree = grouped.mapInPandas(trees, kind)
-    long = columns.filter(F.size("large") > 0).mapInPandas(digests, "digest binary, d long, k long, first long")
-    # place in the corpus as one number, so that minima are taken before the shuffle
-    order = F.col("d").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)") + F.col("first").cast("decimal(20,0)")
-    long = written(long.withColumn("place", order.cast("decimal(38,0)")), "long-prefixes")
-    earliest = written(long.groupBy("digest").agg(F.min("place").alias("earliest")), "earliest")
-    by_digest = long.join(earliest, "digest").filter("place > earliest").select("d", "k", "first", F.lit(1).cast("long").alias("n"))
-    return staged, by_tree.unionByName(by_digest)
+    one = F.lit(1).cast("long").alias("n")
+    return staged, by_tree.unionByName(copies).unionByName(later.select("d", "k", "first", one))
+
+
+def _place():
+    """Document and word as one number, so that minima are taken before the shuffle."""
+    documents = F.col("d").cast("decimal(20,0)") * F.lit(1 << 32).cast("decimal(11,0)")
+    return (documents + F.col("first").cast("decimal(20,0)")).cast("decimal(38,0)")
 
 
 def kept_words(text: str, first: list[int], n: list[int], min_words: int) -> tuple[str, int, int]:
