@@ -187,8 +187,7 @@ def test_silver_clock_must_lie_on_a_bucket(spark):
         summary_from_silver(empty, empty, Tiering())
 
 
-@pytest.mark.parametrize("history, pods", [(8, 1), (None, 2)])
-def test_periodic_reports(spark, tmp_path, history, pods):
+def test_periodic_reports(spark, tmp_path):
     (tmp_path / "usage").mkdir()
     land(tmp_path / "pods", "a.json", [pod_list("1")])
     bronze, out = str(tmp_path / "bronze"), str(tmp_path / "reports")
@@ -196,8 +195,31 @@ def test_periodic_reports(spark, tmp_path, history, pods):
     for name, at, pod in rounds:
         land(tmp_path / "usage", name, [usage(at, 150_000_000, pod)])
         run(start_ingest(spark, str(tmp_path / "usage"), str(tmp_path / "pods"), bronze, str(tmp_path / "cp1"), None))
-        run(start_reports(spark, bronze, out, str(tmp_path / "cp2"), Tiering(), None, history))
+        run(start_reports(spark, bronze, out, str(tmp_path / "cp2"), Tiering(), None))
     reports = spark.read.parquet(out)
     assert reports.count() == 3
     newest = latest_per_node(reports.drop("batch_id")).collect()
-    assert [(r.node_name, r.pod_count, r.total_cpu_waste_millis, r.seq) for r in newest] == [("n1", pods, 850.0, 2)]
+    assert [(r.node_name, r.pod_count, r.total_cpu_waste_millis, r.seq) for r in newest] == [("n1", 2, 850.0, 2)]
+    pods = spark.read.parquet(f"{out}-pods").filter("seq = 2").collect()
+    assert {(r.pod_name, r.total_cpu_waste_millis) for r in pods} == {("gone", 0.0), ("web-abc-x", 850.0)}
+
+
+def test_reports_cover_the_whole_retention(spark, tmp_path):
+    """21 days of retention: a sample of 900m twelve days back still counts beside one of 100m now."""
+    (tmp_path / "usage").mkdir()
+    land(tmp_path / "pods", "a.json", [pod_list("1")])
+    bronze, out = str(tmp_path / "bronze"), str(tmp_path / "reports")
+    t = Tiering(coarse_keep_seconds=21 * 86_400)
+    for name, at, nano in (("a.json", T0 - timedelta(days=12), 900_000_000), ("b.json", T0, 100_000_000)):
+        land(tmp_path / "usage", name, [usage(at, nano, "web-abc-x")])
+        run(start_ingest(spark, str(tmp_path / "usage"), str(tmp_path / "pods"), bronze, str(tmp_path / "cp1"), None))
+        run(start_reports(spark, bronze, out, str(tmp_path / "cp2"), t, None))
+    newest = latest_per_node(spark.read.parquet(out).drop("batch_id")).first()
+    assert newest.total_cpu_waste_millis == 100.0
+
+
+def test_ingest_without_specs(spark, tmp_path):
+    land(tmp_path / "usage", "a.json", [usage(T0, 150_000_000, "web-abc-x")])
+    bronze = str(tmp_path / "bronze")
+    run(start_ingest(spark, str(tmp_path / "usage"), None, bronze, str(tmp_path / "cp"), None))
+    assert [r.cpu_request_millis for r in spark.read.parquet(bronze).collect()] == [0]

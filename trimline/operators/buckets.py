@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from trimline.functions.clock import MICROS, epoch_us, floor_us, like_input
+from trimline.functions.clock import MICROS, as_of_range, epoch_us, floor_us, like_input
 from trimline.operators.percentiles import (
     large_groups,
     small_aggregate,
@@ -34,10 +34,7 @@ def slim(samples: DataFrame, t: Tiering, keep_seconds: int | None = None) -> Dat
     The cut is a plain range on ``ts`` so that it reaches the scan. ``keep_seconds`` narrows it.
     """
     if t.as_of is not None:
-        kind = samples.schema["ts"].dataType.simpleString()
-        now = F.lit(t.as_of.isoformat(sep=" ")).cast(kind)
-        oldest = now - F.expr(f"INTERVAL {keep_seconds or t.coarse_keep_seconds} SECONDS")
-        samples = samples.filter((F.col("ts") <= now) & (F.col("ts") >= oldest))
+        samples = samples.filter(as_of_range(samples, t.as_of, keep_seconds or t.coarse_keep_seconds))
     return samples.select(
         # never NULL, so joins on the keys need no extra filters and equal plans can be reused
         *[F.coalesce(F.col(k), F.lit("")).alias(k) for k in SERIES],

@@ -39,6 +39,17 @@ def parse_specs(specs: DataFrame) -> DataFrame:
     )
 
 
+def current_specs(specs: DataFrame) -> DataFrame:
+    """Parsed specs with one row per container: the last one by ``scraped_at`` and ``seq``, where given.
+
+    A table without these columns has no order; of rows that repeat a key in it the largest counts.
+    """
+    parsed = parse_specs(specs)
+    order = [c for c in ("scraped_at", "ts", "seq") if c in parsed.columns]
+    rest = [c for c in parsed.columns if c in METADATA_DEFAULTS]
+    return last_spec(parsed, [*order, *rest])
+
+
 def last_spec(specs: DataFrame, order: list[str]) -> DataFrame:
     """One spec per container key: the last one by ``order``."""
     fields = F.struct(*[c for c in specs.columns if c in METADATA_DEFAULTS])

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from trimline.functions.clock import MICROS, floor_us
 from trimline.operators.buckets import LIVE, bucket_span, fine_level, merge_aggregates
-from trimline.operators.enrich import parse_specs
+from trimline.operators.enrich import current_specs
 from trimline.operators.rollups import OWNER, with_owner
 from trimline.operators.series import fill_metadata
 from trimline.params import Sizing, Tiering
@@ -46,7 +46,7 @@ def series_steps(samples: DataFrame, t: Tiering, s: Sizing) -> DataFrame:
 
 def own(rows: DataFrame, specs: DataFrame) -> DataFrame:
     """Attach sizes of the container and the owner of its pod."""
-    parsed = parse_specs(specs)
+    parsed = current_specs(specs)
     sizes = parsed.select(*SPEC_KEY, *_SIZES)
     owners = (
         parsed.groupBy("pod_namespace", "pod_name")

@@ -157,5 +157,10 @@ def _size_and_peak(values: Mapping[str, str]) -> list[Column]:
     ]
 
 
-# Whole number that never falls as the value grows; log1p is semi-monotonic on the JVM.
-_DIGIT = f"floor(signum(value) * log1p(abs(value)) * {_DIGITS_PER_LOG})"
+# Whole number that never falls as the value grows; log1p is semi-monotonic on the JVM. NaN sorts
+# last, as it does in arrays; the infinities come before it, beyond every finite value.
+_FINITE = 1_000_000_000
+_DIGIT = (
+    f"CASE WHEN isnan(value) THEN {_FINITE + 1}L ELSE "
+    f"floor(least({_FINITE}D, greatest(-{_FINITE}D, signum(value) * log1p(abs(value)) * {_DIGITS_PER_LOG}))) END"
+)

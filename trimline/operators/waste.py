@@ -45,8 +45,13 @@ def container_waste(snapshots: DataFrame) -> DataFrame:
     )
 
 
-def pod_waste(containers: DataFrame, keys: DataFrame | None = None) -> DataFrame:
-    """Totals per pod. With ``keys`` (all known series) pods without retained data appear too."""
+def pod_waste(
+    containers: DataFrame, keys: DataFrame | None = None, owners: DataFrame | None = None
+) -> DataFrame:
+    """Totals per pod. With ``keys`` (all known series) pods without retained data appear too.
+
+    ``owners`` (pod_namespace, pod_name, owner_kind, owner_name) names the owners of such pods.
+    """
     pods = containers.groupBy(*POD).agg(
         F.count(F.lit(1)).alias("container_count"),
         F.max("qos_class").alias("qos_class"),
@@ -73,7 +78,14 @@ def pod_waste(containers: DataFrame, keys: DataFrame | None = None) -> DataFrame
         "owner_kind": "",
         "owner_name": "",
     }
-    return keys.select(*POD).distinct().join(pods, list(POD), "left").fillna(zeros)
+    listed = keys.select(*POD).distinct().join(pods, list(POD), "left")
+    if owners is not None:
+        by_spec = owners.select("pod_namespace", "pod_name", F.struct("owner_kind", "owner_name").alias("spec"))
+        listed = listed.join(by_spec, ["pod_namespace", "pod_name"], "left")
+        gone = F.col("container_count").isNull()
+        for name in ("owner_kind", "owner_name"):
+            listed = listed.withColumn(name, F.when(gone, F.col(f"spec.{name}")).otherwise(F.col(name)))
+    return listed.select(*pods.columns).fillna(zeros)
 
 
 def node_waste(pods: DataFrame) -> DataFrame:

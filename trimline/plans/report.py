@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from trimline.operators.enrich import enrich_series, last_spec, parse_specs
+from trimline.functions.clock import as_of_range
+from trimline.operators.enrich import current_specs, enrich_series
 from trimline.operators.series import series_keys, series_summary
 from trimline.operators.waste import container_waste, pod_waste
 from trimline.params import Tiering
@@ -13,10 +15,10 @@ from trimline.params import Tiering
 def snapshots(samples: DataFrame, specs: DataFrame, t: Tiering) -> DataFrame:
     """Summary, window and metadata per series.
 
-    A spec table has one current row per container, so metadata is joined to the summaries and
-    not to the samples: the join is as small as the number of series.
+    Specs are reduced to the last row per container, and metadata is joined to the summaries and not
+    to the samples: the join is as small as the number of series.
     """
-    return enrich_series(series_summary(samples, t), parse_specs(specs))
+    return enrich_series(series_summary(samples, t), current_specs(specs))
 
 
 def containers(samples: DataFrame, specs: DataFrame, t: Tiering) -> DataFrame:
@@ -24,11 +26,18 @@ def containers(samples: DataFrame, specs: DataFrame, t: Tiering) -> DataFrame:
 
 
 def pods(samples: DataFrame, specs: DataFrame, t: Tiering) -> DataFrame:
-    """Pod totals. With a fixed clock a pod may have no retained data; it is listed with zeros."""
-    keys = series_keys(samples) if t.as_of is not None else None
-    return pod_waste(containers(samples, specs, t), keys)
+    """Pod totals.
 
-
-def current_specs(specs: DataFrame, order: list[str]) -> DataFrame:
-    """Parsed specs reduced to the last row per container."""
-    return last_spec(parse_specs(specs), order)
+    With a fixed clock a pod that was seen before it may have no retained data; it is listed with zeros
+    and the owner that its spec names. Pods first seen after the clock are not listed.
+    """
+    if t.as_of is None:
+        return pod_waste(containers(samples, specs, t))
+    owners = (
+        current_specs(specs)
+        .groupBy("pod_namespace", "pod_name")
+        .agg(F.max(F.struct("owner_kind", "owner_name")).alias("owner"))
+        .select("pod_namespace", "pod_name", "owner.*")
+    )
+    seen = series_keys(samples.filter(as_of_range(samples, t.as_of)))
+    return pod_waste(containers(samples, specs, t), seen, owners)

@@ -40,11 +40,14 @@ def write_batch(df: DataFrame, path: str, batch_id: int, partitions: tuple[str,
 
 
 def enrich_batch(samples: DataFrame, specs_path: str | None) -> DataFrame:
-    """Join a batch to the specs as they are now; without specs the samples keep zeros."""
-    try:
-        specs = pod_specs(readable(read_pod_documents(samples.sparkSession, specs_path)))
-    except AnalysisException:
-        specs = None
+    """Join a batch to the specs as they are now; without specs, or before any, samples keep zeros."""
+    specs = None
+    if specs_path is not None:
+        try:
+            specs = pod_specs(readable(read_pod_documents(samples.sparkSession, specs_path)))
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
     if specs is None:
         return fill_metadata(
             samples.withColumns({c: F.lit(None) for c in METADATA_DEFAULTS})

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from datetime import datetime, timezone
+from datetime import date, datetime, timezone
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -11,17 +12,37 @@ from pyspark.sql.streaming import StreamingQuery
 from trimline.operators.series import latest_metadata, series_summary
 from trimline.operators.waste import container_waste, node_waste, pod_waste
 from trimline.params import Tiering
+from trimline.schemas import SERIES
 from trimline.sources.bronze import read_samples
 from trimline.streaming.ingest import trigger_of, write_batch
 
 
-def node_totals(samples: DataFrame, t: Tiering, report_time: datetime) -> DataFrame:
-    """Node totals from enriched samples, stamped with the report time."""
+def pod_rows(samples: DataFrame, t: Tiering, report_time: datetime) -> DataFrame:
+    """Pod totals from enriched samples, stamped with the report time."""
     snapshot = series_summary(samples, t).join(
         latest_metadata(samples), ["node_name", "pod_namespace", "pod_name", "container_name"]
     )
     stamp = F.lit(report_time.isoformat(sep=" ")).cast("timestamp")
-    return node_waste(pod_waste(container_waste(snapshot))).withColumn("report_time", stamp)
+    return pod_waste(container_waste(snapshot)).withColumn("report_time", stamp)
+
+
+def retained_days(clocks: DataFrame, t: Tiering) -> list[date]:
+    """Days with retained samples of any series, from (series, ts) rows; at most all days there are."""
+    first_day = F.to_date(F.col("ts") - F.expr(f"INTERVAL {t.coarse_keep_seconds} SECONDS"))
+    days = clocks.select(F.explode(F.sequence(first_day, F.to_date("ts"))).alias("day")).distinct()
+    return sorted(r["day"] for r in days.collect())
+
+
+def last_clocks(spark: SparkSession, path: str, before: int) -> DataFrame | None:
+    """(series, ts) as written by the last batch before ``before``; None if there was none."""
+    try:
+        rows = spark.read.parquet(path).filter(F.col("batch_id") < before)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    newest = rows.agg(F.max("batch_id")).first()[0]
+    return None if newest is None else rows.filter(F.col("batch_id") == newest).drop("batch_id")
 
 
 def start_reports(
@@ -31,28 +52,38 @@ def start_reports(
     checkpoint: str,
     t: Tiering,
     interval_ms: int | None = 300_000,
-    history_days: int | None = 8,
 ) -> StreamingQuery:
     """Every interval with new samples, report all nodes that sent some.
 
-    Rows go to ``reports_path`` as ``batch_id`` partitions; the newest row of a node is its
-    report. Only bronze days from ``history_days`` before the batch on are read: a day more than
-    the retention covers every live series. ``None`` reads all days and so keeps reporting
-    series that stopped long ago.
+    Node totals go to ``reports_path`` and their pods to ``<reports_path>-pods``, both as ``batch_id``
+    partitions with ``seq``; the newest ``seq`` of a node is its report, and its pods are those of that
+    ``seq``. At ``<reports_path>-clocks`` the stream keeps one row per series, its latest time. It tells
+    which days hold retained samples of a node: those of live series and, as a series runs on its own
+    clock, the last days of stopped ones. Only these day partitions of bronze are read.
     """
     schema = spark.read.parquet(bronze_path).schema
     stream = spark.readStream.schema(schema).parquet(bronze_path)
+    root = reports_path.rstrip("/")
+    clocks_path, pods_path = f"{root}-clocks", f"{root}-pods"
 
     def report(batch: DataFrame, batch_id: int) -> None:
         nodes = batch.select("node_name").distinct()
-        samples = read_samples(spark, bronze_path, t)
-        if history_days is not None:
-            # a scalar subquery, evaluated first and used to prune day partitions
-            first = batch.select(F.date_sub(F.to_date(F.min("ts")), history_days)).scalar()
-            samples = samples.filter(F.col("day") >= first)
+        latest = batch.select(*SERIES, "ts")
+        before = last_clocks(spark, clocks_path, batch_id)
+        if before is not None:
+            latest = latest.unionByName(before)
+        latest = latest.groupBy(*SERIES).agg(F.max("ts").alias("ts"))
+        write_batch(latest, clocks_path, batch_id, partitions=())
+        clocks = last_clocks(spark, clocks_path, batch_id + 1).join(nodes, "node_name", "left_semi")
+        days = retained_days(clocks, t)
+        samples = read_samples(spark, bronze_path, t).filter(F.col("day").isin(days))
         samples = samples.join(nodes, "node_name", "left_semi")
         now = datetime.now(timezone.utc).replace(tzinfo=None)
-        rows = node_totals(samples, t, now).withColumn("seq", F.lit(batch_id).cast("bigint"))
+        pods = pod_rows(samples, t, now).withColumn("seq", F.lit(batch_id).cast("bigint"))
+        write_batch(pods, pods_path, batch_id, partitions=())
+        written = spark.read.schema(pods.schema).parquet(f"{pods_path}/batch_id={batch_id}")
+        stamp = F.lit(now.isoformat(sep=" ")).cast("timestamp")
+        rows = node_waste(written).withColumns({"report_time": stamp, "seq": F.lit(batch_id).cast("bigint")})
         write_batch(rows, reports_path, batch_id, partitions=())
 
     return (
