@@ -187,3 +187,25 @@ def test_parameters_are_checked():
     for bad in (dict(mode="x"), dict(fine_seconds=7), dict(coarse_seconds=7200 * 7), dict(hot_rows=0)):
         with pytest.raises(ValueError):
             replace(Tiering(), **bad)
+
+
+@pytest.mark.parametrize("hot_rows", [1, 1000])
+def test_ranks_of_nan_infinity_and_null(spark, hot_rows):
+    """NaN sorts last, nulls do not count for ranks; the split path agrees with the sorting one."""
+    nan, inf = float("nan"), float("inf")
+    groups = {
+        "nan": [float(i) for i in range(1, 20)] + [nan, nan],
+        "inf": [-inf, -1.0, -0.0, 0.0, 2.0, inf, inf],
+        "null": [None, None, 3.0],
+        "none": [None],
+    }
+    rows = [(k, v) for k, values in groups.items() for v in values]
+    got = {r.k: r for r in metric_aggregate(spark.createDataFrame(rows, "k string, v double"), ["k"], {"v": "v"}, hot_rows).collect()}
+
+    def shown(r):
+        return [str(x + 0.0) for x in (r.v_p50, r.v_p95, r.v_p99, r.v_max)]
+
+    assert shown(got["nan"]) == ["11.0", "nan", "nan", "nan"]
+    assert shown(got["inf"]) == ["0.0", "inf", "inf", "inf"]
+    assert shown(got["null"]) == ["3.0"] * 4 and got["null"].n == 3
+    assert shown(got["none"]) == ["0.0"] * 4 and got["none"].n == 1

@@ -54,13 +54,13 @@ def with_clock(rows: DataFrame, t: Tiering) -> tuple[DataFrame, DataFrame]:
     """``(rows of ordinary series, rows of hot series)``, each with ``clock_us``.
 
     Without a fixed clock the ordinary rows are hash-partitioned by series here, which all later
-    per-series aggregates reuse. Hot series are few by construction (``rows / hot_rows`` at
-    most), so their clocks are broadcast and their rows stay where they were read.
+    per-series aggregates reuse. Hot series are few (``rows / hot_rows`` at most); AQE broadcasts their
+    clocks when that list is small, and splits their rows where it is not.
     """
     keys = list(SERIES)
     # both filters use both columns, so that all uses of the statistics share one exchange
     stats = series_clock(rows).filter(F.col("clock_us").isNotNull())
-    hot = F.broadcast(stats.filter(F.col("n_rows") >= t.hot_rows).drop("n_rows"))
+    hot = stats.filter(F.col("n_rows") >= t.hot_rows).drop("n_rows")
     small = rows.join(hot, keys, "left_anti")
     large = rows.join(hot, keys)
     if t.as_of is not None:

@@ -46,8 +46,7 @@ def metric_aggregate(
     """P50/P95/P99/Max and count ``n`` per group of ``keys``; ``values`` maps column to prefix.
 
     Groups with fewer than ``hot_rows`` rows are sorted in memory. Larger ones are ranked by
-    :func:`split_aggregate`. At most ``rows / hot_rows`` groups can be large, which
-    bounds the broadcast list of their keys; with none of them, AQE drops that whole branch.
+    :func:`split_aggregate`; with none of them, AQE drops that whole branch.
     """
     keys = list(keys)
     df = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in values])
@@ -69,8 +68,11 @@ def large_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame
 def split_by(
     df: DataFrame, hot: DataFrame, keys: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:
-    """``(rows of other groups, rows of hot groups)``; ``hot`` must have a bounded row count."""
-    listed = F.broadcast(hot.selectExpr(*[f"{k} AS hot_{k}" for k in keys]))
+    """``(rows of other groups, rows of hot groups)``.
+
+    The list of hot keys grows with the data, so it carries no broadcast hint: AQE checks its size.
+    """
+    listed = hot.selectExpr(*[f"{k} AS hot_{k}" for k in keys])
     same = F.expr(" AND ".join(f"{k} <=> hot_{k}" for k in keys))
     return df.join(listed, same, "left_anti"), df.join(listed, same, "left_semi")
 

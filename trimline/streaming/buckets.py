@@ -1,25 +1,33 @@
-"""Continuous tumbling buckets with a watermark."""
+"""Continuous tumbling buckets with a watermark.
+
+A sample may be as late as the retention allows. A bucket is reported as soon as it has samples and again
+whenever it changes (:func:`start_buckets`), so open buckets are part of the result; it is forgotten as
+state when it leaves the retention.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
+from trimline.functions.clock import epoch_us, floor_us
 from trimline.operators.buckets import PREFIXES, merge_aggregates, with_mean_p50
 from trimline.operators.percentiles import nearest_ranks, sorted_values
 from trimline.params import EXACT, Tiering
 from trimline.schemas import METRICS, SERIES
+from trimline.streaming.ingest import trigger_of, write_batch
 
 
-def fine_stream(samples: DataFrame, t: Tiering, lateness: str = "7 days") -> DataFrame:
+def fine_stream(samples: DataFrame, t: Tiering, lateness: str | None = None) -> DataFrame:
     """Fine buckets of a sample stream; ``incremental`` state is a count, sums and maxima.
 
-    ``lateness`` is how long a bucket stays open for late samples.
+    A bucket stays open for late samples as long as they are retained, or for ``lateness`` if given.
     """
     values = samples.select(
         *SERIES, F.col("ts").cast("timestamp").alias("ts"),
         *[F.col(c).cast("double").alias(c) for c in METRICS],
-    ).withWatermark("ts", lateness)
+    ).withWatermark("ts", lateness or f"{t.coarse_keep_seconds} seconds")
     grouped = values.groupBy(F.window("ts", f"{t.fine_seconds} seconds").alias("w"), *SERIES)
     count = F.count(F.lit(1)).alias("n")
     maxima = [F.max(c).alias(f"{p}_max") for c, p in METRICS.items()]
@@ -35,8 +43,41 @@ def fine_stream(samples: DataFrame, t: Tiering, lateness: str = "7 days") -> Dat
 
 
 def coarse_stream(fine: DataFrame, t: Tiering) -> DataFrame:
-    """Coarse buckets chained on the fine ones; never reads a sample again."""
+    """Coarse buckets chained on the fine ones, for append mode: each is reported once it is closed."""
     merged = fine.groupBy(
         F.window(F.window_time("w"), f"{t.coarse_seconds} seconds").alias("w"), *SERIES
     ).agg(*merge_aggregates())
     return with_mean_p50(merged)
+
+
+def start_buckets(
+    fine: DataFrame, path: str, checkpoint: str, interval_ms: int | None = 60_000
+) -> StreamingQuery:
+    """Keep a table of fine buckets at ``path``: every batch adds the buckets it changed, open ones too."""
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        rows = batch.withColumn("bucket_start", F.col("w.start")).drop("w")
+        write_batch(rows, path, batch_id, partitions=())
+
+    return (
+        fine.writeStream.outputMode("update")
+        .foreachBatch(add)
+        .option("checkpointLocation", checkpoint)
+        .trigger(**trigger_of(interval_ms))
+        .start()
+    )
+
+
+def read_buckets(spark: SparkSession, path: str) -> DataFrame:
+    """Each fine bucket as its last batch left it."""
+    rows = spark.read.parquet(path)
+    key = [*SERIES, "bucket_start"]
+    newest = rows.groupBy(*key).agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(newest, [*key, "batch_id"], "left_semi").drop("batch_id")
+
+
+def coarse_buckets(fine: DataFrame, t: Tiering) -> DataFrame:
+    """Coarse buckets of the kept fine ones, closed and open."""
+    start = F.timestamp_micros(floor_us(epoch_us(F.col("bucket_start")), t.coarse_seconds))
+    merged = fine.groupBy(*SERIES, start.alias("bucket_start")).agg(*merge_aggregates())
+    return with_mean_p50(merged)

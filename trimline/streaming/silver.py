@@ -39,8 +39,8 @@ def partial_buckets(samples: DataFrame, t: Tiering) -> DataFrame:
 def exact_buckets(samples: DataFrame, touched: DataFrame, t: Tiering) -> DataFrame:
     """Buckets named in ``touched`` computed anew from all their samples in bronze.
 
-    ``touched`` has the series key, ``bucket_us`` and ``day``; the join on ``day`` prunes the
-    bronze partitions at run time.
+    ``touched`` has the series key, ``bucket_us`` and ``day``. Give only the day partitions of bronze
+    that it names: the join does not prune them.
     """
     ts = epoch_us(F.col("ts"))
     rows = samples.withColumn("bucket_us", floor_us(ts, t.fine_seconds)).join(
@@ -75,7 +75,8 @@ def start_silver(
         if t.mode == EXACT:
             bucket = floor_us(epoch_us(F.col("ts")), t.fine_seconds)
             touched = batch.withColumn("bucket_us", bucket).select(*_KEY, "day").distinct()
-            rows = exact_buckets(spark.read.parquet(bronze_path), touched, t)
+            days = [r["day"] for r in touched.select("day").distinct().collect()]  # at most all days
+            rows = exact_buckets(spark.read.parquet(bronze_path).filter(F.col("day").isin(days)), touched, t)
         else:
             rows = partial_buckets(batch, t)
         write_batch(rows, silver_path, batch_id)

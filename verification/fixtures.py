@@ -19,6 +19,16 @@ SELECT concat('node-', cast(user_id % 4 AS string)) AS node_name,
        cast(round(value * 4000000) AS bigint) AS mem_usage,
        cast(round(value * 3000000) AS bigint) AS mem_ws
 FROM events""",
+    # some pods are first seen in the last days of the month
+    "fx_late_pods": """
+SELECT concat('node-', cast(user_id % 4 AS string)) AS node_name,
+       concat('ns-', cast(user_id % 6 AS string)) AS pod_namespace,
+       concat('app-', cast(user_id % 30 AS string), '-7f8b9c-', cast(user_id AS string)) AS pod_name,
+       'main' AS container_name, ts, event_id AS seq,
+       cast(round(value * 10000000) AS bigint) AS cpu_nano,
+       cast(round(value * 4000000) AS bigint) AS mem_usage,
+       cast(round(value * 3000000) AS bigint) AS mem_ws
+FROM events WHERE user_id % 7 <> 3 OR ts > TIMESTAMP '2024-01-29 00:00:00'""",
     # quantities include blanks, spaces and garbage; one pod in ten has no owner
     "fx_pod_specs": """
 SELECT DISTINCT concat('ns-', cast(user_id % 6 AS string)) AS pod_namespace,

@@ -151,9 +151,9 @@ META = f"""{', '.join(f'coalesce({c}, 0) AS {c}' for c in SIZES)},
 BASE = ("fx_samples", "fx_pod_specs")
 
 
-def waste_texts(as_of: str | None = None, **keep: str) -> dict[str, str]:
+def waste_texts(as_of: str | None = None, source: str = "fx_samples", **keep: str) -> dict[str, str]:
     return {
-        "fine_rows": fine_rows("fx_samples", "exact", as_of, **keep),
+        "fine_rows": fine_rows(source, "exact", as_of, **keep),
         "windows": WINDOWS,
         "summary": f"SELECT {KEYS}, {merged(digits=None)} FROM fine_rows GROUP BY {KEYS}",
         "specs": SPECS,
@@ -188,6 +188,24 @@ def waste(body: str, **more: str) -> str:
     return with_views(body, *BASE, **waste_texts(), **more)
 
 
+def at_clock(body: str, source: str) -> str:
+    """Pods seen up to the clock; those without retained data have zeros and the owner of their spec."""
+    texts = waste_texts(str(CLOCK), source, fine_keep="INTERVAL 1 DAY", coarse_keep="INTERVAL 2 DAY")
+    live, owned = texts.pop("pod_waste"), texts.pop("owned")
+    texts["live_pods"] = live
+    texts["spec_owners"] = """
+SELECT pod_namespace, pod_name, max(owner_kind) AS spec_kind, max(owner_name) AS spec_name FROM specs GROUP BY pod_namespace, pod_name"""
+    texts["pod_waste"] = f"""
+SELECT node_name, pod_namespace, pod_name, coalesce(container_count, 0) AS container_count, coalesce(qos_class, '') AS qos_class,
+       CASE WHEN container_count IS NULL THEN coalesce(spec_kind, '') ELSE owner_kind END AS owner_kind,
+       CASE WHEN container_count IS NULL THEN coalesce(spec_name, '') ELSE owner_name END AS owner_name,
+       coalesce(total_cpu_waste_millis, 0.0e0) AS total_cpu_waste_millis, coalesce(total_mem_waste_bytes, 0.0e0) AS total_mem_waste_bytes
+FROM (SELECT DISTINCT node_name, pod_namespace, pod_name FROM {source} WHERE ts <= TIMESTAMP '{CLOCK}')
+LEFT JOIN live_pods USING (node_name, pod_namespace, pod_name) LEFT JOIN spec_owners USING (pod_namespace, pod_name)"""
+    texts["owned"] = owned
+    return with_views(body, source, "fx_pod_specs", **texts)
+
+
 TOTALS = """round(sum(total_cpu_waste_millis), 6) AS total_cpu_waste_millis,
        round(sum(total_mem_waste_bytes), 6) AS total_mem_waste_bytes"""
 SHOWN = """CAST(round_even(sum(total_cpu_waste_millis), 0) AS BIGINT) AS cpu_waste_millis,
@@ -195,6 +213,8 @@ SHOWN = """CAST(round_even(sum(total_cpu_waste_millis), 0) AS BIGINT) AS cpu_was
 WORKLOADS = f"""
 SELECT pod_namespace, owner_kind, owner_name, count(*) AS pod_count, {TOTALS}
 FROM owned GROUP BY pod_namespace, owner_kind, owner_name"""
+CLUSTER_TABLE = f"""
+SELECT pod_namespace, count(DISTINCT (owner_kind, owner_name)) AS owner_count, count(*) AS pod_count, {SHOWN} FROM owned GROUP BY pod_namespace"""
 WASTE_DOUBLES = (
     [f"cpu_{k}_millis" for k in ("p50", "p95", "p99", "max")]
     + ["cpu_waste_millis", "cpu_waste_percent"]
@@ -475,15 +495,11 @@ FROM (SELECT o_orderkey, o_custkey, cast(round(o_totalprice * 1048576 / 50) AS b
     "pod_waste": waste(
         f"SELECT * REPLACE ({rounding(['total_cpu_waste_millis', 'total_mem_waste_bytes'], 6)}) FROM pod_waste"
     ),
-    "pod_waste_fixed_clock": with_views(
-        """
-SELECT node_name, pod_namespace, pod_name, coalesce(container_count, 0) AS container_count, coalesce(qos_class, '') AS qos_class,
-       coalesce(owner_kind, '') AS owner_kind, coalesce(owner_name, '') AS owner_name,
-       round(coalesce(total_cpu_waste_millis, 0), 6) AS total_cpu_waste_millis, round(coalesce(total_mem_waste_bytes, 0), 6) AS total_mem_waste_bytes
-FROM (SELECT DISTINCT node_name, pod_namespace, pod_name FROM fx_samples) LEFT JOIN pod_waste USING (node_name, pod_namespace, pod_name)""",
-        *BASE,
-        **waste_texts(str(CLOCK), fine_keep="INTERVAL 1 DAY", coarse_keep="INTERVAL 2 DAY"),
+    "pod_waste_fixed_clock": at_clock(
+        f"SELECT * REPLACE ({rounding(['total_cpu_waste_millis', 'total_mem_waste_bytes'], 6)}) FROM pod_waste", "fx_samples"
     ),
+    "workloads_fixed_clock": at_clock(WORKLOADS, "fx_late_pods"),
+    "cluster_table_fixed_clock": at_clock(CLUSTER_TABLE, "fx_late_pods"),
     "node_waste": waste(f"SELECT node_name, count(*) AS pod_count, {TOTALS} FROM pod_waste GROUP BY node_name"),
     "workloads": waste(WORKLOADS),
     "workload_usage": waste(
@@ -496,9 +512,7 @@ FROM (SELECT * REPLACE (CASE WHEN owner_kind = '' THEN 'Pod' ELSE owner_kind END
                         CASE WHEN owner_kind = '' THEN pod_name ELSE owner_name END AS owner_name) FROM snapshots)
 GROUP BY {WORKLOAD}"""
     ),
-    "cluster_table": waste(
-        f"SELECT pod_namespace, count(DISTINCT (owner_kind, owner_name)) AS owner_count, count(*) AS pod_count, {SHOWN} FROM owned GROUP BY pod_namespace"
-    ),
+    "cluster_table": waste(CLUSTER_TABLE),
     "cluster_totals": waste(
         f"SELECT count(DISTINCT node_name) AS node_count, count(*) AS pod_count, {TOTALS} FROM pod_waste"
     ),
@@ -695,28 +709,48 @@ ORACLES["parse_quantities"] = (
 )
 
 
-def streamed(width: str, wait: str, exact: bool = False) -> str:
-    """Buckets of ``width`` that are closed once the last sample has been seen."""
+def streamed(width: str, exact: bool = False) -> str:
+    """Buckets of ``width``, closed and open, once the last sample has been seen."""
     p50 = "quantile_disc(cpu_nano, 0.5)" if exact else "sum(cpu_nano) / count(*)"
     p95, p99 = (f"quantile_disc(cpu_nano, {q})" if exact else "max(cpu_nano)" for q in (0.95, 0.99))
     return with_views(
         f"""
 SELECT {KEYS}, time_bucket({width}, ts) AS bucket_start, count(*) AS sample_count, round(CAST({p50} AS DOUBLE), 3) AS cpu_p50,
        CAST({p95} AS DOUBLE) AS cpu_p95, CAST({p99} AS DOUBLE) AS cpu_p99, CAST(max(cpu_nano) AS DOUBLE) AS cpu_max
-FROM fx_dense WHERE {wait} GROUP BY {KEYS}, time_bucket({width}, ts)""",
+FROM fx_dense GROUP BY {KEYS}, time_bucket({width}, ts)""",
         "fx_dense",
     )
 
 
-def _closed(width: str) -> str:
-    return f"time_bucket({width}, ts) + {width} <= (SELECT max(ts) - INTERVAL 1 DAY FROM fx_dense)"
-
-
-ORACLES["stream_fine_buckets"] = streamed("INTERVAL 6 HOUR", _closed("INTERVAL 6 HOUR"))
-ORACLES["stream_fine_buckets_exact"] = streamed("INTERVAL 6 HOUR", _closed("INTERVAL 6 HOUR"), exact=True)
-ORACLES["stream_coarse_buckets"] = streamed("INTERVAL 1 DAY", _closed("INTERVAL 1 DAY"))
+ORACLES["stream_fine_buckets"] = streamed("INTERVAL 6 HOUR")
+ORACLES["stream_fine_buckets_exact"] = streamed("INTERVAL 6 HOUR", exact=True)
+ORACLES["stream_coarse_buckets"] = streamed("INTERVAL 1 DAY")
 ORACLES["silver_summary"] = with_views(
     f"SELECT s.*, w.data_window_ns FROM (SELECT {KEYS}, {merged()} FROM fine_rows GROUP BY {KEYS}) s JOIN ({WINDOWS}) w USING ({KEYS})",
     "fx_dense",
     fine_rows=fine_rows("fx_dense", "incremental", "2024-01-29 00:00:00", raw="INTERVAL 12 HOUR"),
 )
+ORACLES["silver_exact_summary"] = with_views(
+    f"SELECT s.*, w.data_window_ns FROM (SELECT {KEYS}, {merged()} FROM fine_rows GROUP BY {KEYS}) s JOIN ({WINDOWS}) w USING ({KEYS})",
+    "fx_dense",
+    fine_rows=fine_rows("fx_dense", "exact", "2024-01-29 00:00:00", raw="INTERVAL 12 HOUR"),
+)
+ORACLES["periodic_report"] = ORACLES["node_waste"]
+ORACLES["periodic_report_pods"] = ORACLES["pod_waste"]
+ORACLES["ingested_samples"] = with_views(
+    f"SELECT {KEYS}, ts, seq, cpu_nano, mem_usage, mem_ws, CAST(0 AS BIGINT) AS cpu_request_millis FROM fx_samples", "fx_samples"
+)
+ORACLES["argo_documents"] = with_views("SELECT * FROM fx_argo_resources", "fx_argo_resources")
+ORACLES["flux_documents"] = with_views("SELECT * FROM fx_flux_inventory", "fx_flux_inventory")
+ORACLES["repository_documents"] = with_views("SELECT * FROM fx_git_repos", "fx_git_repos")
+ORACLES["recommendation_documents"] = recs(
+    """
+SELECT pod_namespace || '/' || owner_kind || '/' || owner_name AS target, container_name, resource, current_request, recommended_request,
+       recommended_limit, risk, est_savings FROM recs"""
+)
+ORACLES["workload_rows"] = waste(
+    """
+SELECT pod_name, container_name, CAST(round_even(cpu_p95_millis, 0) AS BIGINT) AS cpu_p95_millis,
+       CAST(round_even(mem_p95_bytes / 1e6, 0) AS BIGINT) AS mem_p95_mb
+FROM container_waste WHERE pod_namespace = 'ns-1' AND owner_kind = 'Deployment' AND owner_name = 'app-1'"""
+)

@@ -6,7 +6,6 @@ fates of a sample (live, fine, coarse, expired) occur and percentiles differ fro
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from dataclasses import replace
@@ -23,10 +22,14 @@ from trimline.operators import recommend, rollups, series, waste
 from trimline.operators.percentiles import metric_aggregate
 from trimline.params import EXACT, INCREMENTAL, Sizing, Tiering
 from trimline.plans import report, rightsize, views
-from trimline.schemas import POD_LIST_DOCUMENT, SERIES, USAGE_DOCUMENT
-from trimline.sources import kubelet, reports
-from trimline.streaming.buckets import coarse_stream, fine_stream
-from trimline.streaming.silver import read_silver, start_partial_silver, summary_from_silver
+from trimline.schemas import METRICS, POD_LIST_DOCUMENT, SERIES, USAGE_DOCUMENT
+from trimline.scratch import place
+from trimline.sources import bronze, kubelet, reports
+from trimline.sources import gitops as gitops_documents
+from trimline.streaming.buckets import coarse_buckets, fine_stream, read_buckets, start_buckets
+from trimline.streaming.ingest import start_ingest
+from trimline.streaming.reports import start_reports
+from trimline.streaming.silver import read_silver, start_partial_silver, start_silver, summary_from_silver
 from verification.fixtures import VIEWS, sql, view
 
 HOUR, DAY = 3600, 86_400
@@ -306,12 +309,25 @@ def _(spark, sf):
     return rounded(_pods(spark, sf))
 
 
-@query("pod_waste_fixed_clock")
-def _(spark, sf):
-    samples, specs = view(spark, sf, "fx_samples"), view(spark, sf, "fx_pod_specs")
+def _pods_at_clock(spark: SparkSession, sf: str, samples: str) -> DataFrame:
     # two days of retention, so that some pods have nothing left and are listed with zeros
     t = replace(FIXED_CLOCK, fine_keep_seconds=DAY, coarse_keep_seconds=2 * DAY)
-    return rounded(report.pods(samples, specs, t))
+    return report.pods(view(spark, sf, samples), view(spark, sf, "fx_pod_specs"), t)
+
+
+@query("pod_waste_fixed_clock")
+def _(spark, sf):
+    return rounded(_pods_at_clock(spark, sf, "fx_samples"))
+
+
+@query("workloads_fixed_clock")
+def _(spark, sf):
+    return rounded(rollups.workloads(_pods_at_clock(spark, sf, "fx_late_pods")))
+
+
+@query("cluster_table_fixed_clock")
+def _(spark, sf):
+    return views.cluster_table(_pods_at_clock(spark, sf, "fx_late_pods"))
 
 
 @query("node_waste")
@@ -667,12 +683,6 @@ SILVER_TIERS = replace(
 )
 
 
-def _work_folder(spark: SparkSession) -> str:
-    """A new folder in the cluster's shared checkpoint folder; a local one only where none is set."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{shared or tempfile.gettempdir()}/trimline-{uuid.uuid4().hex}"
-
-
 def _dense_stream(spark: SparkSession, sf: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
@@ -685,49 +695,38 @@ def _dense_stream(spark: SparkSession, sf: str) -> DataFrame:
     return samples
 
 
-def _run_to_table(spark: SparkSession, buckets_of_stream: DataFrame) -> DataFrame:
-    """Append closed windows to parquet until the input is exhausted, then read them."""
-    folder = _work_folder(spark)
-    flat = buckets_of_stream.select(
-        *SERIES,
-        F.col("w.start").alias("bucket_start"),
-        F.col("n").alias("sample_count"),
-        *[f"cpu_{k}" for k in ("p50", "p95", "p99", "max")],
-    )
-    stream = (
-        flat.writeStream.format("parquet")
-        .outputMode("append")
-        .option("path", f"{folder}/out")
-        .option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    stream.awaitTermination()
-    found = spark.read.parquet(f"{folder}/out")
-    return rounded(found.withColumn("bucket_start", F.col("bucket_start").cast("timestamp_ntz")), 3)
+def _kept_buckets(spark: SparkSession, sf: str, t: Tiering) -> DataFrame:
+    """Fine buckets, closed and open, after the stream has read all of the input."""
+    folder = place(spark, "stream")
+    stream = fine_stream(_dense_stream(spark, sf), t)
+    start_buckets(stream, f"{folder}/buckets", f"{folder}/checkpoint", None).awaitTermination()
+    return read_buckets(spark, f"{folder}/buckets")
+
+
+def _shown_buckets(found: DataFrame) -> DataFrame:
+    columns = [*SERIES, F.col("bucket_start").cast("timestamp_ntz").alias("bucket_start"), F.col("n").alias("sample_count")]
+    return rounded(found.select(*columns, *[f"cpu_{k}" for k in ("p50", "p95", "p99", "max")]), 3)
 
 
 @query("stream_fine_buckets")
 def _(spark, sf):
-    return _run_to_table(spark, fine_stream(_dense_stream(spark, sf), STREAM_TIERS, "1 day"))
+    return _shown_buckets(_kept_buckets(spark, sf, STREAM_TIERS))
 
 
 @query("stream_fine_buckets_exact")
 def _(spark, sf):
-    tiers = replace(STREAM_TIERS, mode=EXACT)
-    return _run_to_table(spark, fine_stream(_dense_stream(spark, sf), tiers, "1 day"))
+    return _shown_buckets(_kept_buckets(spark, sf, replace(STREAM_TIERS, mode=EXACT)))
 
 
 @query("stream_coarse_buckets")
 def _(spark, sf):
-    fine = fine_stream(_dense_stream(spark, sf), STREAM_TIERS, "1 day")
-    return _run_to_table(spark, coarse_stream(fine, STREAM_TIERS))
+    return _shown_buckets(coarse_buckets(_kept_buckets(spark, sf, STREAM_TIERS), STREAM_TIERS))
 
 
 @query("silver_summary")
 def _(spark, sf):
     """Summary from a streamed silver table and the live tail of the samples."""
-    folder = _work_folder(spark)
+    folder = place(spark, "silver")
     start_partial_silver(
         _dense_stream(spark, sf), f"{folder}/silver", f"{folder}/checkpoint", SILVER_TIERS, None
     ).awaitTermination()
@@ -735,3 +734,119 @@ def _(spark, sf):
     return rounded(
         summary_from_silver(silver, dense(spark, sf), SILVER_TIERS).drop("window_start", "window_end"), 3
     )
+
+
+@query("silver_exact_summary")
+def _(spark, sf):
+    """The same from bronze, with exact buckets recomputed for every batch."""
+    folder, t = place(spark, "silver"), replace(SILVER_TIERS, mode=EXACT)
+    bronze.write_samples(dense(spark, sf), f"{folder}/bronze")
+    start_silver(spark, f"{folder}/bronze", f"{folder}/silver", f"{folder}/checkpoint", t, None).awaitTermination()
+    silver = read_silver(spark, f"{folder}/silver", t)
+    tail = bronze.read_tail(spark, f"{folder}/bronze", t)
+    return rounded(summary_from_silver(silver, tail, t).drop("window_start", "window_end"), 3)
+
+
+def _periodic_report(spark: SparkSession, sf: str) -> str:
+    """Run the report stream over a bronze table of enriched samples; the path of the reports."""
+    folder = place(spark, "reports")
+    specs = enrich.parse_specs(view(spark, sf, "fx_pod_specs"))
+    bronze.write_samples(enrich.enrich_samples(view(spark, sf, "fx_samples"), specs), f"{folder}/bronze")
+    start_reports(
+        spark, f"{folder}/bronze", f"{folder}/reports", f"{folder}/checkpoint", EXACT_TIERS, None
+    ).awaitTermination()
+    return f"{folder}/reports"
+
+
+@query("periodic_report")
+def _(spark, sf):
+    newest = reports.latest_per_node(spark.read.parquet(_periodic_report(spark, sf)).drop("batch_id"))
+    return rounded(newest.drop("report_time", "seq"))
+
+
+@query("periodic_report_pods")
+def _(spark, sf):
+    pods = spark.read.parquet(f"{_periodic_report(spark, sf)}-pods")
+    return rounded(pods.drop("report_time", "seq", "batch_id"))
+
+
+@query("ingested_samples")
+def _(spark, sf):
+    """Samples as landed usage documents, ingested into bronze by the stream."""
+    folder = place(spark, "ingest")
+    container = F.struct(
+        F.col("container_name").alias("name"),
+        F.struct(F.col("cpu_nano").cast("decimal(20,0)").alias("usageNanoCores")).alias("cpu"),
+        F.struct(F.col("mem_usage").alias("usageBytes"), F.col("mem_ws").alias("workingSetBytes")).alias("memory"),
+    )
+    reference = F.struct(F.col("pod_name").alias("name"), F.col("pod_namespace").alias("namespace"))
+    pod = F.struct(reference.alias("podRef"), F.array(container).alias("containers"))
+    node = F.struct(F.col("node_name").alias("nodeName"))
+    document = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("scraped_at"), "seq", node.alias("node"), F.array(pod).alias("pods")))
+    view(spark, sf, "fx_samples").select(document.alias("value")).write.text(f"{folder}/usage")
+    start_ingest(spark, f"{folder}/usage", None, f"{folder}/bronze", f"{folder}/checkpoint", None).awaitTermination()
+    found = bronze.read_samples(spark, f"{folder}/bronze", EXACT_TIERS)
+    return found.select(*SERIES, F.col("ts").cast("timestamp_ntz").alias("ts"), "seq", *[F.col(c).cast("bigint").alias(c) for c in METRICS], "cpu_request_millis")
+
+
+def _landed(rows: DataFrame, item: Column, label: str) -> str:
+    """Write one list document per row, as a controller would hand them out; their folder."""
+    folder = place(rows.sparkSession, label)
+    rows.select(F.to_json(F.struct(F.array(item).alias("items"))).alias("value")).write.text(folder)
+    return folder
+
+
+@query("argo_documents")
+def _(spark, sf):
+    source = F.struct(F.col("repo_url").alias("repoURL"), "path").alias("source")
+    status = F.struct(F.array(F.struct("kind", "name", "namespace")).alias("resources")).alias("status")
+    item = F.struct(F.struct(source).alias("spec"), status)
+    folder = _landed(view(spark, sf, "fx_argo_resources"), item, "argo")
+    return gitops_documents.argo_resources(spark, folder, multi_line=False)
+
+
+@query("flux_documents")
+def _(spark, sf):
+    reference = F.struct(F.col("source_name").alias("name"), F.col("source_namespace").alias("namespace"))
+    spec = F.struct("path", reference.alias("sourceRef")).alias("spec")
+    entries = F.array(F.struct(F.col("entry_id").alias("id"))).alias("entries")
+    status = F.struct(F.struct(entries).alias("inventory")).alias("status")
+    item = F.struct(F.struct(F.col("ks_namespace").alias("namespace")).alias("metadata"), spec, status)
+    folder = _landed(view(spark, sf, "fx_flux_inventory"), item, "flux")
+    return gitops_documents.flux_inventory(spark, folder, multi_line=False)
+
+
+@query("repository_documents")
+def _(spark, sf):
+    item = F.struct(F.struct("name", "namespace").alias("metadata"), F.struct("url").alias("spec"))
+    folder = _landed(view(spark, sf, "fx_git_repos"), item, "repositories")
+    return gitops_documents.flux_repositories(spark, folder, multi_line=False)
+
+
+@query("recommendation_documents")
+def _(spark, sf):
+    """Documents of all recommendations, written and read again."""
+    folder = place(spark, "recommendations")
+    reports.write_documents(reports.recommendation_documents(_recommendations(spark, sf)), folder)
+    kind = (
+        "target STRUCT<kind: STRING, name: STRING, namespace: STRING>, container STRING, resource STRING, "
+        "currentRequest BIGINT, recommendedRequest BIGINT, recommendedLimit BIGINT, risk STRING, estimatedSavings BIGINT"
+    )
+    found = spark.read.schema(kind).json(folder)
+    return found.select(
+        F.concat_ws("/", "target.namespace", "target.kind", "target.name").alias("target"),
+        F.col("container").alias("container_name"),
+        "resource",
+        F.col("currentRequest").alias("current_request"),
+        F.col("recommendedRequest").alias("recommended_request"),
+        F.col("recommendedLimit").alias("recommended_limit"),
+        "risk",
+        F.col("estimatedSavings").alias("est_savings"),
+    )
+
+
+@query("workload_rows")
+def _(spark, sf):
+    """Containers of one workload."""
+    detail = views.workload_detail(_containers(spark, sf))
+    return views.one_workload(detail, "ns-1", "Deployment", "app-1").select("pod_name", "container_name", "cpu_p95_millis", "mem_p95_mb")
