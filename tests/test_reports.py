@@ -130,15 +130,14 @@ def test_as_of_join_does_not_depend_on_chunks(spark, chunk):
     assert got == {0: 0, 3: 3, 4: 3, 66: 65, 90: 70, 500: 400, 2999: 400, 4000: 3000}
 
 
-@pytest.mark.parametrize("chunk_pods", [500, 1])
-def test_node_report_documents(spark, chunk_pods):
-    documents = reports.node_report_documents(waste_of(enriched(spark, API)), "2026-02-28 12:00:00", chunk_pods).collect()
-    parsed = [json.loads(r.document) for r in documents]
-    if chunk_pods == 500:
-        assert sorted(d["nodeName"] for d in parsed) == ["n1", "n2"] and all(r.parts == 1 for r in documents)
-    assert {d["reportTime"] for d in parsed} == {"2026-02-28T12:00:00Z"}
-    assert {d["totalCpuWasteMillis"] for d in parsed if d["nodeName"] == "n2"} == {1700.0}
-    pods = {p["podName"]: p for d in parsed for p in d["pods"]}
+def test_node_report_documents(spark):
+    documents = reports.node_report_documents(waste_of(enriched(spark, API)), "2026-02-28 12:00:00").collect()
+    parsed = [(r.kind, json.loads(r.document)) for r in documents]
+    assert {d["reportTime"] for _, d in parsed} == {"2026-02-28T12:00:00Z"}
+    nodes = {d["nodeName"]: d for kind, d in parsed if kind == "node"}
+    assert sorted(nodes) == ["n1", "n2"] and nodes["n2"]["totalCpuWasteMillis"] == 1700.0
+    pods = {d["pod"]["podName"]: d["pod"] for kind, d in parsed if kind == "pod"}
+    assert sum(d["podCount"] for d in nodes.values()) == len(pods)
     assert set(pods) == {"api-pod", "api-pod2", "lone", "free"}
     assert pods["api-pod"]["ownerRef"] == {"kind": "Deployment", "name": "api", "namespace": "prod"}
     assert pods["lone"]["ownerRef"] == {"kind": "", "name": "", "namespace": ""}
@@ -150,11 +149,13 @@ def test_node_report_documents(spark, chunk_pods):
 
 def test_cluster_documents_and_empty_report(spark):
     containers = waste_of(enriched(spark, API))
-    documents = [json.loads(r.document) for r in reports.cluster_report_documents(containers, "2026-02-28 12:00:00").collect()]
-    spaces = {k: v for d in documents for k, v in d["namespaces"].items()}
-    assert set(spaces) == {"prod", "dev"} and {(d["nodeCount"], d["podCount"]) for d in documents} == {(2, 4)}
-    owner = spaces["prod"]["owners"][0]
-    assert (owner["owner"]["name"], owner["podCount"], len(owner["containers"])) == ("api", 2, 3)
+    lines = [(r.kind, json.loads(r.document)) for r in reports.cluster_report_documents(containers, "2026-02-28 12:00:00").collect()]
+    whole = [d for kind, d in lines if kind == "cluster"]
+    assert [(d["nodeCount"], d["podCount"]) for d in whole] == [(2, 4)]
+    assert {d["namespace"] for kind, d in lines if kind == "namespace"} == {"prod", "dev"}
+    owners = {(d["namespace"], d["owner"]["name"]): d["podCount"] for kind, d in lines if kind == "owner"}
+    listed = [d for kind, d in lines if kind == "pod" and d["namespace"] == "prod" and d["owner"]["name"] == "api"]
+    assert (owners["prod", "api"], len(listed), sum(len(d["pod"]["containers"]) for d in listed)) == (2, 2, 3)
     empty = json.loads(reports.empty_node_report(spark, "n9", "2026-02-28 12:00:00").first().document)
     assert empty == {"nodeName": "n9", "reportTime": "2026-02-28T12:00:00Z", "pods": None, "totalCpuWasteMillis": 0.0, "totalMemWasteBytes": 0.0}
 
@@ -182,4 +183,4 @@ def test_latest_report_per_node(spark):
 def test_written_documents_are_json_lines(spark, tmp_path):
     out = str(tmp_path / "out")
     reports.write_documents(reports.node_report_documents(waste_of(enriched(spark, API)), "2026-02-28 12:00:00"), out)
-    assert spark.read.json(out).count() == 2
+    assert spark.read.json(out).count() == 6  # two nodes and four pods

@@ -1,22 +1,21 @@
 """Report documents, their envelopes, and the table of pushed node reports.
 
-A nested document holds all pods of its node or namespace, so its size grows with that group.
-Groups above ``chunk_pods`` pods are therefore written as several documents: each is a complete
-report with the totals of the whole group and a share of its pods, numbered ``part`` of
-``parts``. Ordinary groups give exactly one document. No task gathers more than about one share.
+A report is written as JSON lines of one layout, whatever its size: one line with the totals of the node,
+namespace, owner or cluster, and one line per pod. No line grows with its group, and no task gathers one.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from trimline.operators.rollups import OWNER, cluster, with_owner
-from trimline.operators.waste import pod_waste, waste_totals
+from trimline.operators.rollups import OWNER, cluster, namespaces, with_owner, workloads
+from trimline.operators.waste import node_waste, pod_waste, waste_totals
 from trimline.schemas import POD
 
-CHUNK_PODS = 500
 _RFC3339 = "yyyy-MM-dd'T'HH:mm:ss'Z'"
 
 
@@ -76,56 +75,29 @@ def pod_documents(containers: DataFrame) -> DataFrame:
     )
 
 
-def _large(pods: DataFrame, group: list[str], chunk_pods: int) -> DataFrame:
-    """Size and totals of groups above ``chunk_pods`` pods, prefixed by ``large_``.
+def _totals() -> list[Column]:
+    return [
+        F.col("total_cpu_waste_millis").alias("totalCpuWasteMillis"),
+        F.col("total_mem_waste_bytes").alias("totalMemWasteBytes"),
+    ]
 
-    There are fewer than ``pods / chunk_pods`` of them, which bounds the broadcast.
-    """
-    sizes = pods.groupBy(*group).agg(
-        F.count(F.lit(1)).alias("large_pods"),
-        F.sum("total_cpu_waste_millis").alias("large_cpu"),
-        F.sum("total_mem_waste_bytes").alias("large_mem"),
-    )
-    return F.broadcast(sizes.filter(F.col("large_pods") > chunk_pods))
 
+def _stamp(report_time: str) -> Column:
+    return rfc3339(F.lit(report_time).cast("timestamp")).alias("reportTime")
 
-def _parts(chunk_pods: int) -> Column:
-    return F.coalesce(
-        F.ceil(F.col("large_pods") / chunk_pods).cast("bigint"), F.lit(1).cast("bigint")
-    )
 
+def _lines(rows: DataFrame, kind: str, keys: list[Column | str], *fields: Column) -> DataFrame:
+    """``keys``, ``kind`` and a ``document`` of the fields."""
+    return rows.select(*keys, F.lit(kind).alias("kind"), F.to_json(F.struct(*fields)).alias("document"))
 
-def node_report_documents(
-    containers: DataFrame, report_time: str, chunk_pods: int = CHUNK_PODS
-) -> DataFrame:
-    """JSON node reports: node_name, part, parts, document."""
+
+def node_report_documents(containers: DataFrame, report_time: str) -> DataFrame:
+    """JSON node reports, node_name, kind, document: a ``node`` line with totals and a line per ``pod``."""
     pods = pod_documents(containers)
-    chunks = (
-        pods.join(_large(pods, ["node_name"], chunk_pods), ["node_name"], "left")
-        .withColumn("parts", _parts(chunk_pods))
-        .withColumn("part", F.pmod(F.xxhash64(*POD), F.col("parts")))
-        .groupBy("node_name", "part", "parts")
-        .agg(
-            F.array_sort(F.collect_list("pod")).alias("pods"),
-            # a node in one part has all its pods here
-            F.coalesce(F.max("large_cpu"), F.sum("total_cpu_waste_millis")).alias("cpu"),
-            F.coalesce(F.max("large_mem"), F.sum("total_mem_waste_bytes")).alias("mem"),
-        )
-    )
-    return chunks.select(
-        "node_name",
-        "part",
-        "parts",
-        F.to_json(
-            F.struct(
-                F.col("node_name").alias("nodeName"),
-                rfc3339(F.lit(report_time).cast("timestamp")).alias("reportTime"),
-                F.col("pods"),
-                F.col("cpu").alias("totalCpuWasteMillis"),
-                F.col("mem").alias("totalMemWasteBytes"),
-            )
-        ).alias("document"),
-    )
+    name, stamp = F.col("node_name").alias("nodeName"), _stamp(report_time)
+    count = F.col("pod_count").alias("podCount")
+    nodes = _lines(node_waste(pods), "node", ["node_name"], name, stamp, count, *_totals())
+    return nodes.unionByName(_lines(pods, "pod", ["node_name"], name, stamp, F.col("pod")))
 
 
 def empty_node_report(spark, node_name: str, report_time: str) -> DataFrame:
@@ -146,114 +118,58 @@ def empty_node_report(spark, node_name: str, report_time: str) -> DataFrame:
 
 
 def cluster_report_documents(
-    containers: DataFrame,
-    report_time: str,
-    chunk_pods: int = CHUNK_PODS,
+    containers: DataFrame, report_time: str, recs: DataFrame | None = None
 ) -> DataFrame:
-    """JSON cluster reports, one per namespace part: pod_namespace, part, parts, document.
+    """JSON cluster reports: pod_namespace, kind, document.
 
-    Each has the cluster totals and a ``namespaces`` map with that one namespace part. Owners in
-    a part list the containers of the part's pods, with the pod count and totals of the whole
-    owner. Recommendations are documents of their own, see :func:`recommendation_documents`.
+    One line for the ``cluster`` (its namespace is null), one per ``namespace``, ``owner`` and ``pod``, and
+    one per ``recommendation`` if ``recs`` is given. Lines below the cluster name their namespace, and
+    those of pods their owner.
     """
     pods = with_owner(pod_documents(containers))
-    spaces = _large(pods, ["pod_namespace"], chunk_pods)
-    owners = _large(pods, list(OWNER), chunk_pods)
-    renamed = owners.select(
-        *OWNER, *[F.col(f"large_{c}").alias(f"owner_{c}") for c in ("pods", "cpu", "mem")]
-    )
-    # an owner stays within one part unless it is large itself
-    spread = F.when(F.col("owner_pods").isNotNull(), F.xxhash64(*POD)).otherwise(
-        F.xxhash64(*OWNER)
+    stamp, count = _stamp(report_time), F.col("pod_count").alias("podCount")
+    space = F.col("pod_namespace").alias("namespace")
+    owner = _owner("owner_kind", "owner_name", "pod_namespace").alias("owner")
+    keys: list[Column | str] = ["pod_namespace"]
+    none = F.lit(None).cast("string").alias("pod_namespace")
+    nodes = F.col("node_count").alias("nodeCount")
+    lines = [
+        _lines(cluster(pods), "cluster", [none], stamp, nodes, count, *_totals()),
+        _lines(
+            namespaces(pods), "namespace", keys, stamp, space, F.col("owner_count").alias("ownerCount"), count, *_totals()
+        ),
+        _lines(workloads(pods), "owner", keys, stamp, space, owner, count, *_totals()),
+        _lines(pods, "pod", keys, stamp, space, owner, F.col("pod")),
+    ]
+    if recs is not None:
+        lines.append(_lines(recs, "recommendation", keys, stamp, space, _recommendation().alias("recommendation")))
+    return reduce(DataFrame.unionByName, lines)
+
+
+def _recommendation() -> Column:
+    target = F.struct(
+        F.col("owner_kind").alias("kind"), F.col("owner_name").alias("name"), F.col("pod_namespace").alias("namespace")
     )
-    part = ["pod_namespace", "part", "parts"]
-    pieces = (
-        pods.join(spaces, ["pod_namespace"], "left")
-        .join(F.broadcast(renamed), list(OWNER), "left")
-        .withColumn("parts", _parts(chunk_pods))
-        .withColumn("part", F.pmod(spread, F.col("parts")))
-        .groupBy(*part, "owner_kind", "owner_name")
-        .agg(
-            F.array_sort(F.collect_list("pod")).alias("pods"),
-            F.coalesce(F.max("owner_pods"), F.count(F.lit(1))).alias("pod_count"),
-            F.sum("total_cpu_waste_millis").alias("piece_cpu"),
-            F.sum("total_mem_waste_bytes").alias("piece_mem"),
-            F.max("owner_cpu").alias("owner_cpu"),
-            F.max("owner_mem").alias("owner_mem"),
-            F.max("large_cpu").alias("large_cpu"),
-            F.max("large_mem").alias("large_mem"),
-        )
-    )
-    listed = pieces.groupBy(*part).agg(
-        F.array_sort(F.flatten(F.collect_list("pods"))).alias("pods"),
-        F.array_sort(
-            F.collect_list(
-                F.struct(
-                    _owner("owner_kind", "owner_name", "pod_namespace").alias("owner"),
-                    F.col("pod_count").alias("podCount"),
-                    F.flatten(F.col("pods.containers")).alias("containers"),
-                    F.coalesce("owner_cpu", "piece_cpu").alias("totalCpuWasteMillis"),
-                    F.coalesce("owner_mem", "piece_mem").alias("totalMemWasteBytes"),
-                )
-            )
-        ).alias("owners"),
-        F.coalesce(F.max("large_cpu"), F.sum("piece_cpu")).alias("cpu"),
-        F.coalesce(F.max("large_mem"), F.sum("piece_mem")).alias("mem"),
-    )
-    namespace = F.struct(
-        F.col("pod_namespace").alias("namespace"),
-        F.col("pods"),
-        F.col("owners"),
-        F.col("cpu").alias("totalCpuWasteMillis"),
-        F.col("mem").alias("totalMemWasteBytes"),
-    )
-    totals = cluster(pod_waste(containers)).select(F.struct("*").alias("totals")).scalar()
-    rows = listed.withColumn("totals", totals)
-    return rows.select(
-        "pod_namespace",
-        "part",
-        "parts",
-        F.to_json(
-            F.struct(
-                rfc3339(F.lit(report_time).cast("timestamp")).alias("reportTime"),
-                F.col("totals.node_count").alias("nodeCount"),
-                F.col("totals.pod_count").alias("podCount"),
-                F.create_map("pod_namespace", namespace).alias("namespaces"),
-                F.col("totals.total_cpu_waste_millis").alias("totalCpuWasteMillis"),
-                F.col("totals.total_mem_waste_bytes").alias("totalMemWasteBytes"),
-            )
-        ).alias("document"),
+    return F.struct(
+        target.alias("target"),
+        F.col("container_name").alias("container"),
+        F.col("resource"),
+        F.col("current_request").alias("currentRequest"),
+        F.col("current_limit").alias("currentLimit"),
+        F.col("recommended_request").alias("recommendedRequest"),
+        F.col("recommended_limit").alias("recommendedLimit"),
+        F.col("pattern"),
+        F.col("confidence"),
+        F.col("reasoning"),
+        F.col("est_savings").alias("estimatedSavings"),
+        F.col("risk"),
+        F.col("data_window_ns").alias("dataWindow"),
     )
 
 
 def recommendation_documents(recs: DataFrame) -> DataFrame:
     """One JSON document per recommendation."""
-    return recs.select(
-        *OWNER,
-        "container_name",
-        "resource",
-        F.to_json(
-            F.struct(
-                F.struct(
-                    F.col("owner_kind").alias("kind"),
-                    F.col("owner_name").alias("name"),
-                    F.col("pod_namespace").alias("namespace"),
-                ).alias("target"),
-                F.col("container_name").alias("container"),
-                F.col("resource"),
-                F.col("current_request").alias("currentRequest"),
-                F.col("current_limit").alias("currentLimit"),
-                F.col("recommended_request").alias("recommendedRequest"),
-                F.col("recommended_limit").alias("recommendedLimit"),
-                F.col("pattern"),
-                F.col("confidence"),
-                F.col("reasoning"),
-                F.col("est_savings").alias("estimatedSavings"),
-                F.col("risk"),
-                F.col("data_window_ns").alias("dataWindow"),
-            )
-        ).alias("document"),
-    )
+    return recs.select(*OWNER, "container_name", "resource", F.to_json(_recommendation()).alias("document"))
 
 
 def ok_envelope(data: Column, at: Column) -> Column:

@@ -565,7 +565,7 @@ FROM (SELECT * FROM fx_node_reports QUALIFY row_number() OVER (PARTITION BY node
     "node_report_documents": waste(
         f"""
 SELECT node_name, strftime(TIMESTAMP '{CREATED_AT}', '%Y-%m-%dT%H:%M:%SZ') AS report_time, pod_namespace, pod_name, owner_name,
-       round(total_cpu_waste_millis, 4) AS pod_cpu_waste, round(sum(total_mem_waste_bytes) OVER (PARTITION BY node_name), 4) AS node_mem_waste
+       round(total_cpu_waste_millis, 4) AS pod_cpu_waste, count(*) OVER (PARTITION BY node_name) AS node_pods, round(sum(total_mem_waste_bytes) OVER (PARTITION BY node_name), 4) AS node_mem_waste
 FROM pod_waste"""
     ),
     "cluster_report_documents": waste(
@@ -754,3 +754,6 @@ SELECT pod_name, container_name, CAST(round_even(cpu_p95_millis, 0) AS BIGINT) A
        CAST(round_even(mem_p95_bytes / 1e6, 0) AS BIGINT) AS mem_p95_mb
 FROM container_waste WHERE pod_namespace = 'ns-1' AND owner_kind = 'Deployment' AND owner_name = 'app-1'"""
 )
+ORACLES["cluster_report_recommendations"] = recs(
+    "SELECT pod_namespace, owner_kind || '/' || owner_name AS target, container_name, resource, recommended_request, risk FROM recs"
+)

@@ -403,20 +403,22 @@ def _(spark, sf):
 
 @query("node_report_documents")
 def _(spark, sf):
-    """Documents of at most about 20 pods, read back from their JSON text."""
-    documents = reports.node_report_documents(_containers(spark, sf), CREATED_AT, chunk_pods=20)
+    """Lines of nodes and pods, read back from their JSON text."""
+    documents = reports.node_report_documents(_containers(spark, sf), CREATED_AT)
     pod = "struct<podName:string,podNamespace:string,ownerRef:struct<kind:string,name:string>,totalCpuWasteMillis:double>"
-    fields = f"nodeName string, reportTime string, pods array<{pod}>, totalMemWasteBytes double"
-    parsed = documents.select(F.from_json("document", fields).alias("d"))
-    pods = parsed.select("d.nodeName", "d.reportTime", "d.totalMemWasteBytes", F.explode("d.pods").alias("p"))
+    fields = f"nodeName string, reportTime string, pod {pod}, podCount bigint, totalMemWasteBytes double"
+    parsed = documents.select("kind", F.from_json("document", fields).alias("d")).select("kind", "d.*")
+    nodes = parsed.filter("kind = 'node'").select("nodeName", "podCount", "totalMemWasteBytes")
+    pods = parsed.filter("kind = 'pod'").select("nodeName", "reportTime", F.col("pod").alias("p"))
     return rounded(
-        pods.select(
+        pods.join(nodes, "nodeName").select(
             F.col("nodeName").alias("node_name"),
             F.col("reportTime").alias("report_time"),
             F.col("p.podNamespace").alias("pod_namespace"),
             F.col("p.podName").alias("pod_name"),
             F.col("p.ownerRef.name").alias("owner_name"),
             F.col("p.totalCpuWasteMillis").alias("pod_cpu_waste"),
+            F.col("podCount").alias("node_pods"),
             F.col("totalMemWasteBytes").alias("node_mem_waste"),
         ),
         4,
@@ -425,31 +427,49 @@ def _(spark, sf):
 
 @query("cluster_report_documents")
 def _(spark, sf):
-    """Cluster documents of at most about 20 pods each, read back from their JSON text."""
-    documents = reports.cluster_report_documents(_containers(spark, sf), CREATED_AT, chunk_pods=20)
-    container = "struct<containerName:string,cpuWasteMillis:double>"
-    owner = f"struct<owner:struct<kind:string,name:string>,podCount:bigint,containers:array<{container}>>"
-    report_fields = f"nodeCount bigint, podCount bigint, namespaces map<string,struct<owners:array<{owner}>>>"
-    parsed = documents.select(F.from_json("document", report_fields).alias("d"))
-    spaces = parsed.select("d.nodeCount", "d.podCount", F.explode("d.namespaces").alias("ns", "r"))
-    owners = spaces.select("nodeCount", "podCount", "ns", F.explode("r.owners").alias("o"))
-    rows = owners.select("nodeCount", "podCount", "ns", "o.owner", F.col("o.podCount").alias("owner_pods"), F.explode("o.containers").alias("c"))
+    """Lines of the cluster, its owners and pods, read back from their JSON text."""
+    documents = reports.cluster_report_documents(_containers(spark, sf), CREATED_AT)
+    pod = "struct<podName:string,containers:array<struct<containerName:string,cpuWasteMillis:double>>>"
+    fields = f"nodeCount bigint, podCount bigint, namespace string, owner struct<kind:string,name:string>, pod {pod}"
+    parsed = documents.select("kind", F.from_json("document", fields).alias("d")).select("kind", "d.*")
+    key = ["namespace", "owner"]
+    total = parsed.filter("kind = 'cluster'").select("nodeCount", F.col("podCount").alias("allPods"))
+    owners = parsed.filter("kind = 'owner'").select(*key, "podCount")
+    rows = parsed.filter("kind = 'pod'").select(*key, F.explode("pod.containers").alias("c"))
+    sums = rows.groupBy(*key).agg(
+        F.count(F.lit(1)).alias("containers"), F.sum("c.cpuWasteMillis").alias("cpu_waste_millis")
+    )
     return rounded(
-        rows.groupBy(
-            F.col("ns").alias("pod_namespace"),
+        owners.join(sums, key).select(
+            F.col("namespace").alias("pod_namespace"),
             F.col("owner.kind").alias("owner_kind"),
             F.col("owner.name").alias("owner_name"),
-            F.col("owner_pods").alias("owner_pods"),
-            F.col("nodeCount").alias("node_count"),
-            F.col("podCount").alias("pod_count"),
-        ).agg(
-            F.count(F.lit(1)).alias("containers"),
-            F.sum("c.cpuWasteMillis").alias("cpu_waste_millis"),
+            F.col("podCount").alias("owner_pods"),
+            total.select("nodeCount").scalar().alias("node_count"),
+            total.select("allPods").scalar().alias("pod_count"),
+            "containers",
+            "cpu_waste_millis",
         ),
         4,
     )
 
 
+@query("cluster_report_recommendations")
+def _(spark, sf):
+    """The recommendations inside the cluster report."""
+    documents = reports.cluster_report_documents(_containers(spark, sf), CREATED_AT, _recommendations(spark, sf))
+    fields = "recommendation struct<target:struct<kind:string,name:string,namespace:string>,container:string,resource:string,recommendedRequest:bigint,risk:string>"
+    found = documents.filter("kind = 'recommendation'").select("pod_namespace", F.from_json("document", fields)["recommendation"].alias("r"))
+    return found.select(
+        "pod_namespace",
+        F.concat_ws("/", "r.target.kind", "r.target.name").alias("target"),
+        F.col("r.container").alias("container_name"),
+        "r.resource",
+        F.col("r.recommendedRequest").alias("recommended_request"),
+        "r.risk",
+    )
+
+
 @query("envelopes")
 def _(spark, sf):
     """Wrap orders into ok and error envelopes, then unwrap them again."""
