@@ -145,7 +145,8 @@ def features(annotated: DataFrame) -> DataFrame:
         F.avg("cpu_mean").alias("step_mean"),
         F.stddev_pop("cpu_mean").alias("step_sd"),
         F.avg(F.col("is_idle").cast("int")).alias("idle_share"),
-        F.max(F.when(F.col("is_idle"), F.col("run_seconds")).otherwise(0)).alias("idle_seconds"),
+        # the run that reaches the end of the window: a quiet spell in the past makes nothing idle now
+        F.max_by(F.when(F.col("is_idle"), F.col("run_seconds")).otherwise(0), "step_us").alias("idle_seconds"),
         *_growth(),
     )
     cpu_p50 = F.col("cpu_wsum") / F.col("n")

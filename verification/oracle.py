@@ -282,7 +282,8 @@ FROM (SELECT {WORKLOAD}, CAST(sum(n) AS BIGINT) AS n, sum(cpu_wsum) / sum(n) AS
              avg(cpu_mean) AS step_mean, stddev_pop(cpu_mean) AS step_sd, avg(CAST(is_idle AS INTEGER)) AS idle_share
       FROM steps GROUP BY {WORKLOAD}) u
 JOIN growth USING ({WORKLOAD})
-LEFT JOIN (SELECT {WORKLOAD}, max(run_seconds) AS idle_seconds FROM runs GROUP BY {WORKLOAD}) r USING ({WORKLOAD})""",
+LEFT JOIN (SELECT runs.* RENAME (run_seconds AS idle_seconds) FROM runs JOIN (SELECT {WORKLOAD}, max(step) AS last FROM steps GROUP BY {WORKLOAD})
+           USING ({WORKLOAD}) WHERE run_start + to_seconds(run_seconds) = last + {STEP}) r USING ({WORKLOAD})""",
     "patterns": """
 SELECT *, CASE WHEN idle_seconds >= 172800 THEN 'idle'
                WHEN growth_steps >= 20 AND growth_share >= 0.5e0 AND growth_slope > 0 THEN 'anomalous'
