@@ -6,7 +6,7 @@ text's score is the product over its words. Words are runs of letters, lower-cas
 vocabulary's word mark in front; a character that no piece covers has a small fixed probability.
 
 The piece probabilities are fitted by expectation-maximisation on a bounded sample of labelled rows:
-``sample_docs`` documents of each language, those with the smallest hashes of their ids, whole texts.
+``sample_docs`` documents of each language, those with the smallest hashes of id and text, whole texts.
 The counting of words and the expected piece counts run on Spark; the driver holds one number per
 language and piece.
 
@@ -193,9 +193,17 @@ def fit(
     rows = labelled.select(
         F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"), F.col(f"`{lang_col}`").alias("lang")
     ).filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
-    # the window keeps at most sample_docs rows of a language in each task, before the shuffle
-    sample = rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_docs)
+    sizes = rows.groupBy("lang").count().limit(MOST_LANGUAGES + 1).collect()
+    if len(sizes) > MOST_LANGUAGES:
+        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
+    if not sizes:
+        return Model(vocabulary, [], np.zeros((len(vocabulary), 0)))
+    # a threshold on the hash for each language first: about twice the sample reaches the window
+    bounds = {r["lang"]: int(-(2**63) + min(1.0, 2.0 * sample_docs / r["count"]) * (2**64 - 1025)) for r in sizes}
+    bound = F.create_map(*[F.lit(x) for pair in bounds.items() for x in pair])
+    near = rows.withColumn("h", F.xxhash64("id", "text")).filter(F.col("h") <= bound[F.col("lang")])
+    order = Window.partitionBy("lang").orderBy("h", "id")
+    sample = near.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= sample_docs)
 
     def split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -208,10 +216,7 @@ def fit(
 
     counted = bound_batches(sample).select("lang", "text").mapInPandas(split, "lang string, word string, n long")
     counts = written(counted.groupBy("lang", "word").agg(F.sum("n").alias("n")), "words")
-    found = [r["lang"] for r in counts.select("lang").distinct().limit(MOST_LANGUAGES + 1).collect()]
-    if len(found) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages in {lang_col}")
-    languages = sorted(found)
+    languages = sorted(r["lang"] for r in counts.select("lang").distinct().collect())  # at most MOST_LANGUAGES
     probability = np.full((len(vocabulary), len(languages)), 1.0 / max(1, len(vocabulary)))
     shared_pieces = spark.sparkContext.broadcast(vocabulary)
     for _ in range(rounds if languages else 0):
