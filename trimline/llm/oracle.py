@@ -12,6 +12,28 @@ SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, d.h AS t
 FROM d JOIN g USING (h)
 """
 
+#: All windows of all documents, so for small tables only in reasonable time.
+OP3_SUBSTRING_DEDUP = r"""
+WITH d AS (
+  SELECT doc_id, [x FOR x IN string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+') IF x <> ''] AS w FROM documents
+), win AS (
+  SELECT doc_id, s, array_to_string(w[s : s + 19], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 18)) AS s FROM d)
+), earliest AS (
+  SELECT k, min(doc_id * 4294967296 + s) AS place FROM win GROUP BY k HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s, s + 20)) AS pos
+  FROM win JOIN earliest USING (k) WHERE doc_id * 4294967296 + s > place
+), kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY pos) AS t, count(*) AS n
+  FROM (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d)
+  ANTI JOIN gone USING (doc_id, pos) GROUP BY doc_id
+)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed,
+       sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (doc_id)
+"""
+
 ORACLES = {
+    "op3_substring_dedup": OP3_SUBSTRING_DEDUP,
     "op10_exact_dedup": OP10_EXACT_DEDUP,
 }
