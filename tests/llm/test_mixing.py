@@ -1,3 +1,6 @@
+import random
+from fractions import Fraction
+
 import pytest
 
 from trimline.llm import mixing, queries
@@ -67,3 +70,35 @@ def test_query_places_every_document(spark):
     got = queries.op4_mixing(spark, sf_dir).collect()
     assert sorted(r.doc_id for r in got) == sorted(r.doc_id for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect())
     assert len({(r.slot, r.place) for r in got}) == len(got)
+
+
+@pytest.mark.parametrize("sources", [2, 100, 5000])
+def test_all_blocks_keep_to_the_real_weights(sources):
+    """Fails with whole shares of 1,000 slots: they are off by more than a block, or ignore the weights."""
+    rng = random.Random(sources)
+    weights = {f"s{i}": rng.random() ** 3 + 1e-4 for i in range(sources - 1)} | {None: 0.5 * sources}
+    total = sum(map(Fraction, weights.values()))
+    slots = 20_000
+    # as many blocks as the slots can take, so that no source runs out
+    blocks = {s: int(Fraction(w) / total * slots) + 2 for s, w in weights.items()}
+    run = dict.fromkeys(weights, 0)
+    for at, (source, block, slot) in enumerate(mixing.slots(mixing.whole(weights), blocks)):
+        if at == slots:
+            break
+        w = Fraction(weights[source]) / total
+        assert slot == at and block == run[source]
+        # the same as a deviation below one block after every slot
+        assert int(block / w) <= slot < -int(-(block + 1) / w // 1)
+        run[source] += 1
+        if at % 1999 == 0 or (sources < 50 and at < 3000):
+            assert all(abs(n - Fraction(weights[s]) / total * (at + 1)) < 1 for s, n in run.items())
+
+
+def test_mix_follows_small_weights_to_the_end(spark):
+    docs = spark.range(9000).selectExpr("id AS doc_id", "IF(id % 9 = 0, 'small', 'large') AS source")
+    weights = {"small": 0.0005, "large": 0.9995}
+    got = mixing.mix(docs, weights, block_rows=1).select("source", "block", "slot").collect()
+    assert len(got) == 9000 and len({r.slot for r in got}) == 9000
+    for r in got:
+        w = Fraction(weights[r.source]) / sum(map(Fraction, weights.values()))
+        assert r.block // w <= r.slot < -(-(r.block + 1) // w)

@@ -5,11 +5,13 @@ Each source is cut into blocks of ``block_rows`` rows. With weight ``w`` its blo
 deadline runs. As long as all sources have blocks, the blocks of a source differ from its weight's share
 by less than one, after every slot.
 
-Weights are whole shares of a cycle. After one cycle every source has run exactly its share of blocks and
-the schedule starts again, so one cycle is scheduled on the driver, of a length that the caller bounds, and
-the slot of any block follows from it: cycle number and place in the cycle. Rows get their place in their
-source by ordering ranges of (source, hash of the id) and adding up the counts of the ranges before; a
-source may fill any part of the table.
+Weights are exact fractions, never rounded: releases and deadlines of every block come from them, for as long
+as the table lasts and however many sources there are. The schedule needs only the blocks of each source and
+is made by one task that carries its state (the next block of each source) and writes the slots in batches:
+work is linear in the blocks and memory in the sources. Rows get their place in their source by ordering
+ranges of (source, hash of the id) and adding up the counts of the ranges before; a source may fill any part
+of the table. A caller who wants a schedule that repeats names a ``cycle``: weights are then rounded to whole
+shares of so many slots, and the bound above holds for these shares.
 
 A source that has run out leaves its slots empty and the others keep their order; no row is dropped.
 
@@ -21,30 +23,83 @@ rows that repeat are separate rows; an empty table gives an empty table; other c
 from __future__ import annotations
 
 import heapq
+import itertools
+import math
+from collections.abc import Iterator
 from fractions import Fraction
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from trimline.scratch import written
 
 BLOCK_ROWS = 16
-#: Slots of a cycle: the precision of the weights. At least the number of sources.
+#: Slots of a cycle, where the caller wants one. At least the number of sources.
 CYCLE = 1_000
+#: Slots that the scheduling task writes at a time.
+BATCH = 1 << 16
 #: Sources that one mix may have.
 MOST_SOURCES = 100_000
 #: Exponent of the sources' sizes in their default weights: large sources lose, small ones win.
 TEMPERATURE = 0.5
 
 
-def shares(weights: dict[str | None, float], cycle: int = CYCLE) -> dict[str | None, int]:
-    """Weights as whole shares of a cycle, at least 1 each, by largest remainders."""
-    if not weights:
-        return {}
+def _checked(weights: dict[str | None, float]) -> None:
     if any(not 0 < w < float("inf") for w in weights.values()):
         raise ValueError("weights must be positive")
     if len(weights) > MOST_SOURCES:
         raise ValueError(f"more than {MOST_SOURCES} sources")
+
+
+def whole(weights: dict[str | None, float]) -> dict[str | None, int]:
+    """Whole numbers in exactly the proportions of the weights."""
+    _checked(weights)
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = math.lcm(*(w.denominator for w in exact.values()))
+    return {s: int(w * scale) for s, w in exact.items()}
+
+
+def slots(parts: dict[str | None, int], blocks: dict[str | None, int]) -> Iterator[tuple[str | None, int, int]]:
+    """(source, block, slot) of all blocks, by slot: earliest deadline first among released blocks.
+
+    A source's share of the slots is its part of the sum of all parts.
+    """
+    total = sum(parts.values())
+    waiting = [(0, -(-total // parts[s]), s is not None, s or "", 0) for s, n in blocks.items() if n]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, bool, str, int]] = []
+    slot = 0
+    while waiting or ready:
+        if not ready:
+            slot = max(slot, waiting[0][0])  # slots of sources that have run out stay empty
+        while waiting and waiting[0][0] <= slot:
+            _, deadline, named, name, block = heapq.heappop(waiting)
+            heapq.heappush(ready, (deadline, named, name, block))
+        deadline, named, name, block = heapq.heappop(ready)
+        if slot >= deadline:
+            raise AssertionError("a block missed its deadline")
+        source = name if named else None
+        yield source, block, slot
+        slot, following = slot + 1, block + 1
+        if following < blocks[source]:
+            n = parts[source]
+            heapq.heappush(waiting, (following * total // n, -(-(following + 1) * total // n), named, name, following))
+
+
+def repeated(share: dict[str | None, int], blocks: dict[str | None, int]) -> Iterator[tuple[str | None, int, int]]:
+    """(source, block, slot) of all blocks, by the schedule of one cycle."""
+    length = sum(share.values())
+    for source, block, slot in schedule(share):
+        for turn, at in enumerate(range(block, blocks.get(source, 0), share[source])):
+            yield source, at, turn * length + slot
+
+
+def shares(weights: dict[str | None, float], cycle: int = CYCLE) -> dict[str | None, int]:
+    """Weights as whole shares of a cycle, at least 1 each, by largest remainders."""
+    if not weights:
+        return {}
+    _checked(weights)
     cycle = max(cycle, len(weights))
     exact = {s: Fraction(w) for s, w in weights.items()}
     total = sum(exact.values())
@@ -93,12 +148,11 @@ def mix(
     id_col: str = "doc_id",
     source_col: str = "source",
     block_rows: int = BLOCK_ROWS,
-    cycle: int = CYCLE,
+    cycle: int | None = None,
 ) -> DataFrame:
     """All rows with ``block``, ``slot`` and ``place`` (order within the slot); columns of these names are replaced."""
     spark = docs.sparkSession
-    share = shares(weights, cycle)
-    plan = schedule(share)
+    parts = whole(weights) if cycle is None else shares(weights, cycle)
     source = F.col(f"`{source_col}`").cast("string")
     named = docs.drop("block", "slot", "place")
     named = named.withColumns({"__s": source, "__h": F.xxhash64(F.col(f"`{id_col}`"))})
@@ -112,37 +166,37 @@ def mix(
     sizes = numbered.groupBy("__s", part.alias("__p")).agg(F.min("__n").alias("__low"), F.count("*").alias("__k"))
     before = Window.partitionBy("__s").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.withColumn("__before", F.coalesce(F.sum("__k").over(before), F.lit(0)))
-    starts = written(starts.select("__s", "__p", "__low", "__before"), "range-starts")
+    starts = written(starts, "range-starts")
 
-    cycles = [(s, b, t, share[s]) for s, b, t in plan]
-    slots = spark.createDataFrame(cycles, "__s string, __b int, __t int, __share int")
-    known = F.broadcast(slots.select(F.col("__s").alias("__w")).distinct())
-    missing = starts.join(known, starts["__s"].eqNullSafe(known["__w"]), "left_anti")
-    unknown = [r["__s"] for r in missing.select("__s").distinct().limit(5).collect()]
+    # one row per source; with more sources than weights may be, one has no weight
+    counts = starts.groupBy("__s").agg(F.sum("__k").alias("__k")).limit(MOST_SOURCES + 1).collect()
+    unknown = [r["__s"] for r in counts if r["__s"] not in parts]
     if unknown:
-        raise ValueError(f"sources without a weight: {unknown}")
+        raise ValueError(f"sources without a weight: {unknown[:5]}")
+    blocks = {r["__s"]: -(-r["__k"] // block_rows) for r in counts}
+
+    def scheduled(one: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for _ in one:
+            found = slots(parts, blocks) if cycle is None else repeated(parts, blocks)
+            while batch := list(itertools.islice(found, BATCH)):
+                yield pd.DataFrame(batch, columns=["__s", "block", "slot"])
+
+    plan = spark.range(0, 1, 1, 1).mapInPandas(scheduled, "__s string, block long, slot long")
+    plan = written(plan, "slots")
 
-    length = len(plan)
-    per_source = slots.select("__s", "__share").distinct()
-    rows = numbered.withColumn("__p", part)
-    rows = _null_safe(rows, starts, ["__s", "__p"])
+    rows = _null_safe(numbered.withColumn("__p", part), F.broadcast(starts.drop("__k")), ["__s", "__p"])
     rank = F.col("__before") + F.col("__n") - F.col("__low")
     rows = rows.withColumn("__rank", rank).withColumn("block", F.floor(F.col("__rank") / block_rows).cast("long"))
-    rows = _null_safe(rows, per_source, ["__s"])
-    rows = rows.withColumn("__b", (F.col("block") % F.col("__share")).cast("int"))
-    rows = _null_safe(rows, slots.drop("__share"), ["__s", "__b"])
-    turn = F.floor(F.col("block") / F.col("__share")).cast("long")
-    rows = rows.withColumns({"slot": turn * length + F.col("__t"), "place": (F.col("__rank") % block_rows).cast("int")})
+    rows = _null_safe(rows, plan, ["__s", "block"]).withColumn("place", (F.col("__rank") % block_rows).cast("int"))
     return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("block", "slot", "place")], "block", "slot", "place")
 
 
-def _null_safe(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
-    """Inner join with a small, bounded table in which null keys match null."""
-    other = small
+def _null_safe(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join in which null keys match null."""
     for k in keys:
         other = other.withColumnRenamed(k, f"{k}_r")
     on = [rows[k].eqNullSafe(other[f"{k}_r"]) for k in keys]
-    return rows.join(F.broadcast(other), on).drop(*[f"{k}_r" for k in keys])
+    return rows.join(other, on).drop(*[f"{k}_r" for k in keys])
 
 
 def in_order(docs: DataFrame, weights: dict[str | None, float], **options) -> DataFrame:
