@@ -3,7 +3,8 @@
 The trees are complete binary trees of hyperplanes. They are fitted on the driver on a bounded,
 documented sample (``sample_rows`` vectors, fewer for long vectors), and every vector is then put in
 its leaf of every tree. A query searches all trees through one priority queue: the node with the
-largest margin over all trees is opened next, until the leaves taken hold ``search_rows`` vectors.
+largest margin over all trees is opened next, until the leaves taken hold ``search_rows`` vectors (by default
+``SEARCH_SHARE`` of all points, summed over the trees, and ``SEARCH_ROWS`` at least).
 Queries and members meet by leaf, and the leaf's members are ranked by their exact cosine.
 
 Equal vectors are one point that carries its smallest ids, so a vector that fills a third of the table
@@ -30,7 +31,8 @@ from trimline.scratch import written
 
 TREES = 16
 LEAF_ROWS = 256
-SEARCH_ROWS = 40_000
+#: Leaf members that a query meets: a share of all points, a copy in each tree counted, and the least number.
+SEARCH_SHARE, SEARCH_ROWS = 0.5, 40_000
 SAMPLE_ROWS = 16_384
 #: Numbers in the sample, whatever the length of a vector.
 SAMPLE_VALUES = 1 << 23
@@ -76,10 +78,23 @@ class Forest:
         return taken
 
 
+def budget(points: int) -> int:
+    """Leaf members that a query meets among so many points."""
+    return max(SEARCH_ROWS, int(SEARCH_SHARE * points))
+
+
 def _unit(vectors: np.ndarray) -> np.ndarray:
     return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
 
 
+def levels(points: int, sampled: int, leaf_rows: int = LEAF_ROWS) -> int:
+    """Depth of the trees for so many points, of which some are in the sample."""
+    depth = 0
+    while points / 2**depth > leaf_rows and sampled / 2 ** (depth + 1) >= 2:
+        depth += 1
+    return depth
+
+
 def plant(sample: np.ndarray, trees: int, depth: int, seed: int = 11) -> Forest:
     """Fit the hyperplanes: between two points of the node, at the median of the node's sample."""
     rng = np.random.default_rng(seed)
@@ -135,7 +150,7 @@ def neighbours(
     vector_col: str = "embedding",
     trees: int = TREES,
     leaf_rows: int = LEAF_ROWS,
-    search_rows: int = SEARCH_ROWS,
+    search_rows: int | None = None,
     sample_rows: int = SAMPLE_ROWS,
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
@@ -161,14 +176,13 @@ def neighbours(
     if not total:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
 
+    wanted_rows = budget(total) if search_rows is None else search_rows
     size = max(2, min(sample_rows, SAMPLE_VALUES // dim))
     share = min(1.0, 2.0 * size / total)
     near = points.select("v", F.xxhash64("v").alias("h")).filter(F.col("h") <= int(-(2**63) + share * (2**64 - 1025)))
     # bounded by SAMPLE_VALUES numbers
     sample = np.array([r["v"] for r in near.orderBy("h", "v").limit(size).collect()], np.float64).reshape(-1, dim)
-    depth = 0
-    while total / 2**depth > leaf_rows and len(sample) / 2 ** (depth + 1) >= 2:
-        depth += 1
+    depth = levels(total, len(sample), leaf_rows)
     forest = plant(_unit(sample), trees, depth) if len(sample) else plant(np.ones((1, dim)), trees, 0)
     shared = spark.sparkContext.broadcast(forest)
 
@@ -191,7 +205,7 @@ def neighbours(
             out = []
             for q, v in zip(batch["q"], batch["v"]):
                 unit = np.asarray(v, np.float64)
-                for t, leaf in forest.search(unit / np.linalg.norm(unit), sizes, search_rows):
+                for t, leaf in forest.search(unit / np.linalg.norm(unit), sizes, wanted_rows):
                     out += [(t, leaf, p, q, v) for p in range(-(-int(sizes[t, leaf]) // chunk_rows))]
             yield pd.DataFrame(out, columns=["tree", "leaf", "part", "q", "v"])
 
