@@ -33,7 +33,27 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0)
 FROM d LEFT JOIN kept USING (doc_id)
 """
 
+OP11_TOP_K = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS w FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), numbered AS (
+  SELECT *, row_number() OVER () AS n FROM v
+), parts AS (
+  SELECT vec_id, n, len(w) AS dim, unnest(w) AS x, unnest(range(len(w))) AS i FROM numbered
+), scored AS (
+  SELECT q.vec_id AS query_id, q.n AS qn, c.vec_id, c.n AS cn, CAST(sum(q.x * c.x) AS BIGINT) AS score
+  FROM parts q JOIN parts c ON q.i = c.i AND q.dim = c.dim AND q.n <> c.n
+  WHERE q.vec_id % 50 = 0 GROUP BY ALL
+), ranked AS (
+  SELECT *, CAST(row_number() OVER (PARTITION BY qn ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM scored
+)
+SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
+"""
+
 ORACLES = {
     "op3_substring_dedup": OP3_SUBSTRING_DEDUP,
     "op10_exact_dedup": OP10_EXACT_DEDUP,
+    "op11_top_k": OP11_TOP_K,
 }

@@ -5,7 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trimline.llm import ann, bpe, exact_dedup, language_id, license_scan, mixing, simhash, substring_dedup, token_counts, url_filter
+from trimline.llm import (
+    ann,
+    bpe,
+    exact_dedup,
+    language_id,
+    license_scan,
+    mixing,
+    simhash,
+    substring_dedup,
+    token_counts,
+    top_k,
+    url_filter,
+)
 from trimline.llm.tables import table
 
 
@@ -63,6 +75,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.decisions(table(spark, sf_dir, "documents"))
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -76,5 +92,6 @@ QUERIES = {
         op8_bpe,
         op9_token_counts,
         op10_exact_dedup,
+        op11_top_k,
     )
 }
