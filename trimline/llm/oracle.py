@@ -52,8 +52,45 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5
 """
 
+OP12_COLLOCATIONS = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang,
+         translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
+  FROM documents
+), piece AS (
+  SELECT lang, unnest(string_split_regex(t, '[.,;:!?\x0A-\x0D]')) AS t FROM d
+), w AS (
+  SELECT lang, [x FOR x IN string_split_regex(t, '[\x20\x09]+') IF x <> ''] AS w FROM piece
+), place AS (
+  SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w
+), gram AS (
+  SELECT lang, w[i : i + k - 1] AS g FROM place, (VALUES (1), (2), (3), (4)) AS t(k) WHERE i + k - 1 <= len(w)
+), f AS (
+  SELECT lang, g, count(*) AS f FROM gram GROUP BY lang, g HAVING count(*) >= 30
+), cut AS (
+  SELECT c.lang, c.g, c.f AS a, k, x.f AS l, y.f AS r,
+         CAST(CAST(2000000 AS HUGEINT) * c.f // (x.f + y.f) AS BIGINT) AS score
+  FROM (SELECT lang, g, f, unnest(range(1, len(g))) AS k FROM f WHERE len(g) > 1) c
+  JOIN f x ON x.lang = c.lang AND x.g = c.g[1 : k]
+  JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 : len(c.g)]
+), lowest AS (
+  SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1
+), inside AS (
+  SELECT lang, g[i : i + k - 1] AS g, max(f) AS longer
+  FROM (SELECT lang, g, f, k, unnest(range(1, len(g) - k + 2)) AS i FROM f, (VALUES (2), (3)) AS t(k) WHERE k < len(g))
+  GROUP BY ALL
+), kept AS (
+  SELECT lowest.*, array_to_string(g, ' ') AS phrase FROM lowest LEFT JOIN inside USING (lang, g)
+  WHERE longer IS NULL OR 100 * longer < 80 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM kept JOIN (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang) USING (lang)
+QUALIFY rank <= 2000
+"""
+
 ORACLES = {
     "op3_substring_dedup": OP3_SUBSTRING_DEDUP,
     "op10_exact_dedup": OP10_EXACT_DEDUP,
     "op11_top_k": OP11_TOP_K,
+    "op12_collocations": OP12_COLLOCATIONS,
 }

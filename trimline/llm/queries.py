@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from trimline.llm import (
     ann,
     bpe,
+    collocations,
     exact_dedup,
     language_id,
     license_scan,
@@ -79,6 +80,10 @@ def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -93,5 +98,6 @@ QUERIES = {
         op9_token_counts,
         op10_exact_dedup,
         op11_top_k,
+        op12_collocations,
     )
 }
