@@ -88,9 +88,53 @@ FROM kept JOIN (SELECT lang, sum(len(w))::BIGINT AS n FROM w GROUP BY lang) USIN
 QUALIFY rank <= 2000
 """
 
+#: CRC-32 of the decimal digits bit by bit: 8 steps of the reflected polynomial for each byte.
+OP13_CONVERSATION_TRIE = """
+WITH t AS (
+  SELECT conv_id, CAST(conv_id AS VARCHAR) AS name,
+         list({'r': role, 't': text} ORDER BY turn NULLS FIRST, sha256(concat(strlen(role), ':', role, text))) AS l
+  FROM (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations) x
+  WHERE conv_id IS NOT NULL GROUP BY conv_id
+), c AS (
+  SELECT conv_id, l, xor(4294967295, list_reduce(
+           list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, len(name) + 1), lambda i: CAST(ascii(name[i]) AS BIGINT))),
+           lambda crc, b: list_reduce(
+             list_prepend(xor(crc, b), list_transform(range(8), lambda z: CAST(0 AS BIGINT))),
+             lambda x, z: xor(x >> 1, 3988292384 * (x & 1))))) % 4 AS h
+  FROM t
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.l, [])[1 : c.h], c.l[c.h + 1 :]) AS s
+  FROM c LEFT JOIN t b ON b.conv_id = c.conv_id - c.conv_id % 20
+), step AS (
+  SELECT conv_id, d, s[1 : d] AS p, len(s) AS n, coalesce(s[d]['t'], '') AS last
+  FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)
+), node AS (
+  SELECT min(conv_id) AS conv_id, d AS depth, p, count(*) AS n_convs,
+         len(regexp_extract_all(min(last), '[^\\x20\\x09-\\x0D]+')) AS words,
+         sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (n = d), '')) AS ends_sha256
+  FROM step GROUP BY d, p
+), path AS (
+  SELECT step.conv_id, step.d, node.conv_id AS owner FROM step JOIN node ON node.depth = step.d AND node.p = step.p
+), linked AS (
+  SELECT node.*, path.owner AS parent_conv_id
+  FROM node LEFT JOIN path ON path.conv_id = node.conv_id AND path.d = node.depth - 1
+), counted AS (
+  SELECT l.*, coalesce(k.n, 0) AS n_children
+  FROM linked l LEFT JOIN (SELECT parent_conv_id AS p, depth - 1 AS d, count(*) AS n FROM linked GROUP BY ALL) k
+  ON k.p = l.conv_id AND k.d = l.depth
+), below AS (
+  SELECT path.owner, path.d, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * words) AS saved
+  FROM counted x JOIN path ON path.conv_id = x.conv_id AND path.d <= x.depth GROUP BY ALL
+)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves,
+       CAST(saved AS BIGINT) AS saved_tokens, ends_sha256
+FROM counted JOIN below ON below.owner = counted.conv_id AND below.d = counted.depth
+"""
+
 ORACLES = {
     "op3_substring_dedup": OP3_SUBSTRING_DEDUP,
     "op10_exact_dedup": OP10_EXACT_DEDUP,
     "op11_top_k": OP11_TOP_K,
     "op12_collocations": OP12_COLLOCATIONS,
+    "op13_conversation_trie": OP13_CONVERSATION_TRIE,
 }

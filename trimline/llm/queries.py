@@ -9,6 +9,7 @@ from trimline.llm import (
     ann,
     bpe,
     collocations,
+    conversation_trie,
     exact_dedup,
     language_id,
     license_scan,
@@ -84,6 +85,10 @@ def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.mine(table(spark, sf_dir, "documents"))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -99,5 +104,6 @@ QUERIES = {
         op10_exact_dedup,
         op11_top_k,
         op12_collocations,
+        op13_conversation_trie,
     )
 }
