@@ -28,6 +28,16 @@ PREFIXES = tuple(METRICS.values())
 _BUCKET = [*SERIES, "clock_us", "tier", "bucket_us"]
 
 
+def without_nulls(samples: DataFrame) -> DataFrame:
+    """One rule for batches, streams and tables: a missing key part is empty, missing usage is 0."""
+    return samples.withColumns(
+        {
+            **{k: F.coalesce(F.col(k), F.lit("")) for k in SERIES},
+            **{c: F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for c in METRICS},
+        }
+    )
+
+
 def slim(samples: DataFrame, t: Tiering, keep_seconds: int | None = None) -> DataFrame:
     """Keys, epoch time and the three metrics only, cut to the retention range of a fixed clock.
 
@@ -35,12 +45,8 @@ def slim(samples: DataFrame, t: Tiering, keep_seconds: int | None = None) -> Dat
     """
     if t.as_of is not None:
         samples = samples.filter(as_of_range(samples, t.as_of, keep_seconds or t.coarse_keep_seconds))
-    return samples.select(
-        # never NULL, so joins on the keys need no extra filters and equal plans can be reused
-        *[F.coalesce(F.col(k), F.lit("")).alias(k) for k in SERIES],
-        epoch_us(F.col("ts")).alias("ts_us"),
-        *[F.coalesce(F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in METRICS],
-    )
+    # never NULL, so joins on the keys need no extra filters and equal plans can be reused
+    return without_nulls(samples).select(*SERIES, epoch_us(F.col("ts")).alias("ts_us"), *METRICS)
 
 
 def series_clock(rows: DataFrame) -> DataFrame:

@@ -17,8 +17,8 @@ from trimline.operators.buckets import (
 from trimline.params import Tiering
 from trimline.schemas import METADATA_DEFAULTS, METADATA_TYPES, SERIES
 
-_LATEST = ("cpu_request_millis", "cpu_limit_millis", "mem_request_bytes", "mem_limit_bytes",
-           "restart_count", "qos_class")
+LATEST = ("cpu_request_millis", "cpu_limit_millis", "mem_request_bytes", "mem_limit_bytes",
+          "restart_count", "qos_class")
 
 
 def series_keys(samples: DataFrame) -> DataFrame:
@@ -36,15 +36,30 @@ def summarise(fine_rows: DataFrame, t: Tiering, back=F.timestamp_micros) -> Data
     The merge is associative, so no coarse roll-up is needed first; it only shows in the window
     edges. Live samples enter the window with their own times.
     """
+    return merge_spans(with_span(fine_rows, t), back)
+
+
+def with_span(fine_rows: DataFrame, t: Tiering) -> DataFrame:
+    """Fine-level rows with the span of their retained bucket and of the data window."""
     start, end = bucket_span(t)
     live = F.col("tier") == LIVE
     rows = fine_rows.withColumns({"start_us": start, "end_us": end})
+    return rows.withColumns(
+        {
+            "from_us": F.when(live, F.col("first_us")).otherwise(F.col("start_us")),
+            "to_us": F.when(live, F.col("last_us")).otherwise(F.col("end_us")),
+        }
+    )
+
+
+def merge_spans(rows: DataFrame, back=F.timestamp_micros) -> DataFrame:
+    """Summary per series from rows of any width that carry their spans."""
     merged = rows.groupBy(*SERIES).agg(
         *merge_aggregates(),
         F.min("start_us").alias("start_us"),
         F.max("end_us").alias("end_us"),
-        F.min(F.when(live, F.col("first_us")).otherwise(F.col("start_us"))).alias("from_us"),
-        F.max(F.when(live, F.col("last_us")).otherwise(F.col("end_us"))).alias("to_us"),
+        F.min("from_us").alias("from_us"),
+        F.max("to_us").alias("to_us"),
     )
     return with_mean_p50(merged).select(
         *SERIES,
@@ -63,7 +78,7 @@ def latest_metadata(samples: DataFrame) -> DataFrame:
     that has one.
     """
     order = F.struct("ts", "seq")
-    latest = F.max_by(F.struct(*_LATEST), order)
+    latest = F.max_by(F.struct(*LATEST), order)
     owner = F.max_by(
         F.when(F.col("owner_kind") != "", F.struct("owner_kind", "owner_name")),
         F.when(F.col("owner_kind") != "", order),

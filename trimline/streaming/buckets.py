@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trimline.functions.clock import epoch_us, floor_us
-from trimline.operators.buckets import PREFIXES, merge_aggregates, with_mean_p50
+from trimline.operators.buckets import PREFIXES, merge_aggregates, with_mean_p50, without_nulls
 from trimline.operators.percentiles import nearest_ranks, sorted_values
 from trimline.params import EXACT, Tiering
 from trimline.schemas import METRICS, SERIES
@@ -24,9 +24,8 @@ def fine_stream(samples: DataFrame, t: Tiering, lateness: str | None = None) ->
 
     A bucket stays open for late samples as long as they are retained, or for ``lateness`` if given.
     """
-    values = samples.select(
-        *SERIES, F.col("ts").cast("timestamp").alias("ts"),
-        *[F.col(c).cast("double").alias(c) for c in METRICS],
+    values = without_nulls(samples).select(
+        *SERIES, F.col("ts").cast("timestamp").alias("ts"), *METRICS
     ).withWatermark("ts", lateness or f"{t.coarse_keep_seconds} seconds")
     grouped = values.groupBy(F.window("ts", f"{t.fine_seconds} seconds").alias("w"), *SERIES)
     count = F.count(F.lit(1)).alias("n")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from trimline.functions.clock import MICROS, epoch_us, floor_us
-from trimline.operators.buckets import COARSE, FINE, LIVE, PREFIXES, assign_tier, fine_level
+from trimline.operators.buckets import COARSE, FINE, LIVE, PREFIXES, assign_tier, fine_level, without_nulls
 from trimline.operators.percentiles import metric_aggregate
 from trimline.operators.series import summarise
 from trimline.params import EXACT, Tiering
@@ -23,7 +23,8 @@ def partial_buckets(samples: DataFrame, t: Tiering) -> DataFrame:
     """Count, sums and maxima per series and fine bucket; partial rows merge by adding up."""
     ts = epoch_us(F.col("ts"))
     return (
-        samples.withColumn("bucket_us", floor_us(ts, t.fine_seconds))
+        without_nulls(samples)
+        .withColumn("bucket_us", floor_us(ts, t.fine_seconds))
         .groupBy(*_KEY)
         .agg(
             F.count(F.lit(1)).alias("n"),
@@ -39,13 +40,12 @@ def partial_buckets(samples: DataFrame, t: Tiering) -> DataFrame:
 def exact_buckets(samples: DataFrame, touched: DataFrame, t: Tiering) -> DataFrame:
     """Buckets named in ``touched`` computed anew from all their samples in bronze.
 
-    ``touched`` has the series key, ``bucket_us`` and ``day``. Give only the day partitions of bronze
+    ``touched`` has the series key (without NULL parts), ``bucket_us`` and ``day``. Give only the day partitions of bronze
     that it names: the join does not prune them.
     """
     ts = epoch_us(F.col("ts"))
-    rows = samples.withColumn("bucket_us", floor_us(ts, t.fine_seconds)).join(
-        touched, [*_KEY, "day"], "left_semi"
-    )
+    rows = without_nulls(samples).withColumn("bucket_us", floor_us(ts, t.fine_seconds))
+    rows = rows.join(touched, [*_KEY, "day"], "left_semi")
     edges = rows.groupBy(*_KEY).agg(F.min(ts).alias("first_us"), F.max(ts).alias("last_us"))
     ranked = metric_aggregate(rows, list(_KEY), METRICS)
     return (
@@ -74,7 +74,7 @@ def start_silver(
     def upsert(batch: DataFrame, batch_id: int) -> None:
         if t.mode == EXACT:
             bucket = floor_us(epoch_us(F.col("ts")), t.fine_seconds)
-            touched = batch.withColumn("bucket_us", bucket).select(*_KEY, "day").distinct()
+            touched = without_nulls(batch).withColumn("bucket_us", bucket).select(*_KEY, "day").distinct()
             days = [r["day"] for r in touched.select("day").distinct().collect()]  # at most all days
             rows = exact_buckets(spark.read.parquet(bronze_path).filter(F.col("day").isin(days)), touched, t)
         else:
