@@ -40,7 +40,9 @@ UNKNOWN = "und"
 #: Suffixes in a bucket, and how many times as many are too many.
 BUCKET, CROWDED = 1 << 18, 4
 #: Suffixes held by a task before they are sorted and sent on, and bytes of text worked on at a time.
-HELD, CHUNK = 1 << 20, 1 << 20
+HELD, CHUNK = 1 << 19, 1 << 20
+#: Tasks that sort the buckets of one round, at most; a task takes one bucket after the other.
+MOST_TASKS = 1 << 15
 #: Distinct words counted by a task before they are sent on.
 COUNTED = 1 << 18
 #: Bits of the map of frequent words.
@@ -259,7 +261,7 @@ def _deeper(crowded: DataFrame, buckets: int) -> DataFrame:
     return bound_batches(crowded).mapInPandas(deepen, _PACKED)
 
 
-def _counted(packed: DataFrame, least: int) -> DataFrame:
+def _counted(packed: DataFrame, least: int, tasks: int) -> DataFrame:
     """(lang, p, a): phrases as arrays of hashes and their counts, each bucket sorted on its own."""
 
     def count(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -270,7 +272,8 @@ def _counted(packed: DataFrame, least: int) -> DataFrame:
         phrases = pd.Series([signed[:d, at] for d, at, _ in found], dtype=object)
         return pd.DataFrame({"lang": key[1], "p": phrases, "a": pd.Series([n for *_, n in found], dtype=np.int64)})
 
-    return packed.groupBy("bucket", "lang").applyInPandas(count, "lang string, p array<long>, a long")
+    dealt = packed.repartition(min(tasks, MOST_TASKS), "bucket", "lang")
+    return dealt.groupBy("bucket", "lang").applyInPandas(count, "lang string, p array<long>, a long")
 
 
 def phrase_counts(
@@ -296,7 +299,7 @@ def phrase_counts(
         discard(words)
     frequent = words.filter(F.col("n") >= least)
     total = frequent.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-total // bucket))
+    buckets, tasks = max(1, -(-total // bucket)), max(1, -(-total // BUCKET))
     packed = written(_suffixes(docs, _bit_map(frequent), seed, buckets), "suffixes")
     tables, found = [packed], None
     for depth in range(2, LONGEST + 1):
@@ -306,7 +309,7 @@ def phrase_counts(
             sizes = packed.groupBy("bucket").agg(F.sum("size").alias("s")).filter(F.col("s") > CROWDED * bucket)
             crowded = written(sizes.select("bucket"), "crowded")
             ordinary = packed.join(crowded, "bucket", "left_anti")
-        here = written(_counted(ordinary, least), "phrases")
+        here = written(_counted(ordinary, least, tasks), "phrases")
         found = here if found is None else found.unionByName(here)
         if depth == LONGEST or not crowded.limit(1).count():
             break
