@@ -97,11 +97,11 @@ def _named(steps: DataFrame) -> DataFrame:
     # d blocks of a level are d // 2 of the next one and, if d is odd, one more
     prefixes = blocks.pop().filter("i = 0").select("conv", F.lit(1).cast("long").alias("d"), F.col("digest").alias("p"))
     for level in reversed(blocks):
-        even = prefixes.select("conv", (F.col("d") * 2).alias("d"), "p")
-        odd = level.filter("i % 2 = 0").select("conv", (F.col("i") + 1).alias("d"), "digest", F.col("i").alias("e"))
-        before = even.withColumnsRenamed({"d": "e", "p": "before"})
-        odd = odd.join(before, ["conv", "e"], "left").select("conv", "d", _digest(F.coalesce("before", F.lit(b"")), F.col("digest")).alias("p"))
-        prefixes = even.unionByName(odd)
+        odd = level.filter("i % 2 = 0").select("conv", F.shiftright("i", 1).alias("e"), "digest")
+        both = prefixes.withColumnRenamed("d", "e").join(odd, ["conv", "e"], "full")
+        one_more = F.when(F.col("digest").isNotNull(), _digest(F.coalesce("p", F.lit(b"")), F.col("digest")))
+        pair = F.array(F.struct((F.col("e") * 2).alias("d"), "p"), F.struct((F.col("e") * 2 + 1).alias("d"), one_more.alias("p")))
+        prefixes = both.select("conv", F.explode(pair).alias("x")).select("conv", "x.d", "x.p").filter("p is not null")
     return written(steps.join(prefixes.withColumnRenamed("d", "depth"), ["conv", "depth"]), "prefixes")
 
 
