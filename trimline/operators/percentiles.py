@@ -95,17 +95,30 @@ def split_aggregate(
     so only the distinct values of that one digit have to be ordered.
     """
     keys, prefixes = list(keys), list(values.values())
-    group = [*keys, "metric"]
     totals = df.groupBy(*keys).agg(*_size_and_peak(values), *extra)
-
     pairs = ", ".join(f"'{p}', {c}" for c, p in values.items())
     counts = (
         df.select(*keys, F.expr(f"stack({len(values)}, {pairs}) AS (metric, value)"))
         .filter("value IS NOT NULL")
-        .groupBy(*group, "value")
+        .groupBy(*keys, "metric", "value")
         .agg(F.expr("count(1) AS weight"))
-        .select("*", F.expr(f"{_DIGIT} AS digit"))
     )
+    names = [f"{p}_{rank}" for p in prefixes for rank in RANKS]
+    kept = [c for c in totals.columns if c not in keys]
+    ranks = counted_ranks(counts, keys, prefixes)
+    return totals.join(
+        ranks, F.expr(" AND ".join(f"{k} <=> r_{k}" for k in keys)), "left"
+    ).selectExpr(*keys, *kept, *[f"coalesce({name}, 0D) AS {name}" for name in names])
+
+
+def counted_ranks(counts: DataFrame, keys: Sequence[str], prefixes: Sequence[str]) -> DataFrame:
+    """Ranks from counted values (keys, metric, value, weight): ``r_<key>`` and ``<metric>_<rank>``.
+
+    No group is held or ordered as a whole, only the distinct values of a digit that holds a rank.
+    """
+    keys = list(keys)
+    group = [*keys, "metric"]
+    counts = counts.select("*", F.expr(f"{_DIGIT} AS digit"))
     by_group = ", ".join(group)
     wanted = ", ".join(
         f"struct('{rank}' AS rank_name, greatest(ceil({p}D * total), 1) AS rank)"
@@ -140,16 +153,12 @@ def split_aggregate(
         .filter("through >= rank AND through - weight < rank")
     )
     names = {f"{p}_{rank}": (p, rank) for p in prefixes for rank in RANKS}
-    ranks = picked.groupBy(*[F.col(k).alias(f"r_{k}") for k in keys]).agg(
+    return picked.groupBy(*[F.col(k).alias(f"r_{k}") for k in keys]).agg(
         *[
             F.expr(f"max(value) FILTER (WHERE metric = '{p}' AND rank_name = '{rank}') AS {name}")
             for name, (p, rank) in names.items()
         ]
     )
-    kept = [c for c in totals.columns if c not in keys]
-    return totals.join(
-        ranks, F.expr(" AND ".join(f"{k} <=> r_{k}" for k in keys)), "left"
-    ).selectExpr(*keys, *kept, *[f"coalesce({name}, 0D) AS {name}" for name in names])
 
 
 def _size_and_peak(values: Mapping[str, str]) -> list[Column]:

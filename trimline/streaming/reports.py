@@ -28,7 +28,7 @@ from trimline.operators.series import LATEST, fill_metadata, merge_spans, with_s
 from trimline.operators.waste import container_waste, node_waste, pod_waste
 from trimline.params import EXACT, Tiering
 from trimline.schemas import SERIES
-from trimline.streaming.ingest import trigger_of, write_batch
+from trimline.streaming.writing import trigger_of, write_batch
 from trimline.streaming.silver import exact_buckets, partial_buckets
 from trimline.streaming.snapshots import VERSION, Snapshots, newest
 

@@ -14,7 +14,7 @@ from trimline.operators.percentiles import metric_aggregate
 from trimline.operators.series import summarise
 from trimline.params import EXACT, Tiering
 from trimline.schemas import METRICS, SERIES
-from trimline.streaming.ingest import trigger_of, write_batch
+from trimline.streaming.writing import trigger_of, write_batch
 
 _KEY = (*SERIES, "bucket_us")
 

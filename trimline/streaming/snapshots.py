@@ -19,6 +19,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Manifests whose parts stay, and versions between two compactions.
 KEPT, COMPACT_EVERY = 4, 16
@@ -57,35 +58,41 @@ class Snapshots:
         names = [n for n in self._names("manifests") if n.endswith(".json")]
         return [n for n in names if before is None or int(n.split("-")[0]) < before]
 
-    def _parts(self, manifest: str) -> list[str]:
+    def _load(self, manifest: str) -> dict:
         stream = self._files.open(self._path(f"{self.path}/manifests/{manifest}"))
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
         finally:
             stream.close()
-        return json.loads(text)["parts"]
+        return json.loads(text)
 
     def parts(self, before: int | None = None) -> list[str]:
         """Parts of the newest version, or of the newest one before ``before``."""
         manifests = self._manifests(before)
-        return self._parts(manifests[-1]) if manifests else []
+        return self._load(manifests[-1])["parts"] if manifests else []
 
     def read(self, before: int | None = None) -> DataFrame | None:
         """All rows of the newest version (before ``before``) with the versions that wrote them; None if there is none."""
-        parts = self.parts(before)
-        return self._rows(parts) if parts else None
+        manifests = self._manifests(before)
+        if not manifests:
+            return None
+        found = self._load(manifests[-1])
+        return self._rows(found["parts"], T.StructType.fromJson(found["schema"]))
 
-    def _rows(self, parts: list[str]) -> DataFrame:
+    def _rows(self, parts: list[str], schema: T.StructType) -> DataFrame:
         root = f"{self.path}/parts"
-        return self.spark.read.option("basePath", root).parquet(*[f"{root}/{p}" for p in parts]).drop("part")
+        # a part may be empty, so the schema comes from the manifest
+        files = self.spark.read.schema(schema).option("basePath", root).parquet(*[f"{root}/{p}" for p in parts])
+        return files.select(*[F.col(f"`{c}`") for c in schema.names])
 
     def append(self, rows: DataFrame, version: int) -> None:
         """Publish ``version``: the parts of the version before and one more with ``rows``."""
-        self._publish(version, [*self.parts(version), self._write(rows.withColumn(VERSION, F.lit(version).cast("long")))])
+        rows = rows.withColumn(VERSION, F.lit(version).cast("long"))
+        self._publish(version, [*self.parts(version), self._write(rows)], rows.schema)
 
     def replace(self, rows: DataFrame, version: int) -> None:
         """Publish ``version`` with nothing but ``rows``, which carry their versions."""
-        self._publish(version, [self._write(rows)])
+        self._publish(version, [self._write(rows)], rows.schema)
 
     def merge(
         self,
@@ -101,23 +108,25 @@ class Snapshots:
         """
         if len(self.parts(version)) < compact_every:
             return self.append(rows, version)
-        part = self._write(rows.withColumn(VERSION, F.lit(version).cast("long")))
-        whole = newest(self._rows([*self.parts(version), part]), keys)
+        rows = rows.withColumn(VERSION, F.lit(version).cast("long"))
+        whole = newest(self._rows([*self.parts(version), self._write(rows)], rows.schema), keys)
         self.replace(keep(whole), version)
 
     def _write(self, rows: DataFrame) -> str:
         part = f"part=p{uuid.uuid4().hex}"
-        rows.write.partitionBy(*self.partitions).parquet(f"{self.path}/parts/{part}")
+        target = f"{self.path}/parts/{part}"
+        # few files of a good size for each partition, whatever the shuffle partitions
+        rows.hint("rebalance", *self.partitions).write.partitionBy(*self.partitions).parquet(target)
         return part
 
-    def _publish(self, version: int, parts: list[str]) -> None:
+    def _publish(self, version: int, parts: list[str], schema: T.StructType) -> None:
         attempt = sum(int(n.split("-")[0]) == version for n in self._manifests())
         target = self._path(f"{self.path}/manifests/{version:020d}-{attempt:06d}.json")
         draft = self._path(f"{self.path}/drafts/{uuid.uuid4().hex}")
         self._files.mkdirs(target.getParent())
         out = self._files.create(draft)
         try:
-            out.write(json.dumps({"parts": parts}).encode())
+            out.write(json.dumps({"parts": parts, "schema": schema.jsonValue()}).encode())
         finally:
             out.close()
         if not self._files.rename(draft, target):
@@ -126,7 +135,7 @@ class Snapshots:
 
     def _vacuum(self) -> None:
         manifests = self._manifests()
-        kept = {p for m in manifests[-KEPT:] for p in self._parts(m)}
+        kept = {p for m in manifests[-KEPT:] for p in self._load(m)["parts"]}
         for m in manifests[:-KEPT]:
             self._files.delete(self._path(f"{self.path}/manifests/{m}"), False)
         for p in set(self._names("parts")) - kept:

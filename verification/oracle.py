@@ -738,8 +738,34 @@ ORACLES["silver_exact_summary"] = with_views(
 )
 ORACLES["periodic_report"] = ORACLES["node_waste"]
 ORACLES["periodic_report_pods"] = ORACLES["pod_waste"]
+ORACLES["stream_coarse_closed"] = f"""
+SELECT * FROM ({streamed('INTERVAL 1 DAY')}) WHERE bucket_start + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""
+#: The last change at or before a sample; before all of them the first one.
 ORACLES["ingested_samples"] = with_views(
-    f"SELECT {KEYS}, ts, seq, cpu_nano, mem_usage, mem_ws, CAST(0 AS BIGINT) AS cpu_request_millis FROM fx_samples", "fx_samples"
+    f"""
+SELECT {KEYS}, ts, seq, cpu_nano, mem_usage, mem_ws,
+       coalesce(CASE WHEN n = 0 THEN first_cpu ELSE last_cpu END, 0) AS cpu_request_millis,
+       coalesce(CASE WHEN n = 0 THEN first_mem ELSE last_mem END, 0) AS mem_request_bytes
+FROM (SELECT s.*, count(c.seq) FILTER (WHERE c.ts <= s.ts) AS n,
+             arg_max(c.cpu_request_millis, (c.ts, c.seq)) FILTER (WHERE c.ts <= s.ts) AS last_cpu,
+             arg_max(c.mem_request_bytes, (c.ts, c.seq)) FILTER (WHERE c.ts <= s.ts) AS last_mem,
+             any_value(f.cpu_request_millis) AS first_cpu, any_value(f.mem_request_bytes) AS first_mem
+      FROM fx_samples s
+      LEFT JOIN fx_spec_changes c USING (pod_namespace, pod_name, container_name)
+      LEFT JOIN (SELECT * FROM fx_spec_changes
+                 QUALIFY row_number() OVER (PARTITION BY pod_namespace, pod_name, container_name ORDER BY ts, seq DESC) = 1) f
+      USING (pod_namespace, pod_name, container_name)
+      GROUP BY s.node_name, s.pod_namespace, s.pod_name, s.container_name, s.ts, s.seq, s.cpu_nano, s.mem_usage, s.mem_ws)""",
+    "fx_samples",
+    "fx_spec_changes",
+)
+ORACLES["rejected_documents"] = with_views(
+    """
+SELECT node_name AS kind, count(*) AS n FROM fx_samples WHERE seq % 7 <> 0 GROUP BY node_name
+UNION ALL SELECT 'kept', count(*) FROM fx_samples WHERE seq % 7 = 0
+UNION ALL SELECT 'rejected', count(*) FROM fx_samples WHERE seq % 7 = 0
+UNION ALL SELECT 'landed', count(*) FROM fx_samples""",
+    "fx_samples",
 )
 ORACLES["argo_documents"] = with_views("SELECT * FROM fx_argo_resources", "fx_argo_resources")
 ORACLES["flux_documents"] = with_views("SELECT * FROM fx_flux_inventory", "fx_flux_inventory")

@@ -26,10 +26,21 @@ from trimline.schemas import METRICS, POD_LIST_DOCUMENT, SERIES, USAGE_DOCUMENT
 from trimline.scratch import place
 from trimline.sources import bronze, kubelet, reports
 from trimline.sources import gitops as gitops_documents
-from trimline.streaming.buckets import coarse_buckets, fine_stream, read_buckets, start_buckets
+from trimline.streaming.buckets import (
+    coarse_stream,
+    fine_stream,
+    read_buckets,
+    read_ranked,
+    read_rollup,
+    start_buckets,
+    start_rollup,
+    value_stream,
+)
 from trimline.streaming.ingest import start_ingest
 from trimline.streaming.reports import start_reports
 from trimline.streaming.silver import read_silver, start_partial_silver, start_silver, summary_from_silver
+from trimline.streaming.snapshots import newest
+from trimline.streaming.specs import start_specs
 from verification.fixtures import VIEWS, sql, view
 
 HOUR, DAY = 3600, 86_400
@@ -703,12 +714,18 @@ SILVER_TIERS = replace(
 )
 
 
-def _dense_stream(spark: SparkSession, sf: str) -> DataFrame:
+def _dense_stream(spark: SparkSession, sf: str, batches: int = 1) -> DataFrame:
+    """The samples as a stream; with several ``batches``, rewritten in as many files by the hash of the event."""
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    schema = spark.read.parquet(f"{sf}/events.parquet").schema
+    events = spark.read.parquet(f"{sf}/events.parquet")
     name = f"events_{uuid.uuid4().hex}"
     # as a glob the path may be one file or a folder of files
-    stream = spark.readStream.schema(schema).parquet(f"{sf}/events.parque[t]")
+    path, reader = f"{sf}/events.parque[t]", spark.readStream.schema(events.schema)
+    if batches > 1:
+        path = place(spark, "events")
+        events.repartition(batches, F.pmod(F.xxhash64("event_id"), F.lit(batches))).write.parquet(path)
+        reader = reader.option("maxFilesPerTrigger", 1)
+    stream = reader.parquet(path)
     stream.createOrReplaceTempView(name)
     samples = spark.sql(VIEWS["fx_dense"].replace("FROM events", f"FROM {name}"))
     spark.catalog.dropTempView(name)
@@ -735,12 +752,33 @@ def _(spark, sf):
 
 @query("stream_fine_buckets_exact")
 def _(spark, sf):
-    return _shown_buckets(_kept_buckets(spark, sf, replace(STREAM_TIERS, mode=EXACT)))
+    """Exact ranks from counted values as state."""
+    folder, t = place(spark, "stream"), replace(STREAM_TIERS, mode=EXACT)
+    stream = value_stream(_dense_stream(spark, sf), t)
+    start_buckets(stream, f"{folder}/values", f"{folder}/checkpoint", None).awaitTermination()
+    return _shown_buckets(read_ranked(spark, f"{folder}/values"))
 
 
 @query("stream_coarse_buckets")
 def _(spark, sf):
-    return _shown_buckets(coarse_buckets(_kept_buckets(spark, sf, STREAM_TIERS), STREAM_TIERS))
+    """Coarse buckets, closed and open, kept by the stream over three batches of fine ones."""
+    folder = place(spark, "rollup")
+    fine = fine_stream(_dense_stream(spark, sf, 3), STREAM_TIERS)
+    start_rollup(fine, f"{folder}/fine", f"{folder}/coarse", f"{folder}/checkpoint", STREAM_TIERS, None).awaitTermination()
+    return _shown_buckets(read_rollup(spark, f"{folder}/coarse"))
+
+
+@query("stream_coarse_closed")
+def _(spark, sf):
+    """Coarse buckets chained on fine ones as a second stateful operator: those that the watermark has closed."""
+    folder, name = place(spark, "chained"), f"chained_{uuid.uuid4().hex}"
+    hourly = coarse_stream(fine_stream(_dense_stream(spark, sf), STREAM_TIERS, "1 day"), STREAM_TIERS)
+    (
+        hourly.writeStream.outputMode("append").format("parquet").queryName(name).trigger(availableNow=True)
+        .option("checkpointLocation", f"{folder}/checkpoint").option("path", f"{folder}/coarse").start().awaitTermination()
+    )
+    found = spark.read.parquet(f"{folder}/coarse").withColumn("bucket_start", F.col("w.start"))
+    return _shown_buckets(found)
 
 
 @query("silver_summary")
@@ -771,10 +809,14 @@ def _periodic_report(spark: SparkSession, sf: str) -> str:
     """Run the report stream over a bronze table of enriched samples; the path of the reports."""
     folder = place(spark, "reports")
     specs = enrich.parse_specs(view(spark, sf, "fx_pod_specs"))
-    bronze.write_samples(enrich.enrich_samples(view(spark, sf, "fx_samples"), specs), f"{folder}/bronze")
-    start_reports(
-        spark, f"{folder}/bronze", f"{folder}/reports", f"{folder}/checkpoint", EXACT_TIERS, None
-    ).awaitTermination()
+    enriched = enrich.enrich_samples(view(spark, sf, "fx_samples"), specs)
+    # three batches: all but late samples and the last days, then the late ones, then the rest
+    late, last = F.col("seq") % 5 == 0, F.col("ts") >= F.lit("2024-01-25").cast("timestamp_ntz")
+    for part in (~late & ~last, late & ~last, last):
+        bronze.write_samples(enriched.filter(part), f"{folder}/bronze")
+        start_reports(
+            spark, f"{folder}/bronze", f"{folder}/reports", f"{folder}/checkpoint", EXACT_TIERS, None
+        ).awaitTermination()
     return f"{folder}/reports"
 
 
@@ -787,13 +829,11 @@ def _(spark, sf):
 @query("periodic_report_pods")
 def _(spark, sf):
     pods = spark.read.parquet(f"{_periodic_report(spark, sf)}-pods")
-    return rounded(pods.drop("report_time", "seq", "batch_id"))
+    return rounded(newest(pods, ["node_name"], ["seq"]).drop("report_time", "seq", "batch_id"))
 
 
-@query("ingested_samples")
-def _(spark, sf):
-    """Samples as landed usage documents, ingested into bronze by the stream."""
-    folder = place(spark, "ingest")
+def _usage_documents(samples: DataFrame) -> Column:
+    """One usage document per sample, as JSON."""
     container = F.struct(
         F.col("container_name").alias("name"),
         F.struct(F.col("cpu_nano").cast("decimal(20,0)").alias("usageNanoCores")).alias("cpu"),
@@ -802,11 +842,63 @@ def _(spark, sf):
     reference = F.struct(F.col("pod_name").alias("name"), F.col("pod_namespace").alias("namespace"))
     pod = F.struct(reference.alias("podRef"), F.array(container).alias("containers"))
     node = F.struct(F.col("node_name").alias("nodeName"))
-    document = F.to_json(F.struct(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("scraped_at"), "seq", node.alias("node"), F.array(pod).alias("pods")))
-    view(spark, sf, "fx_samples").select(document.alias("value")).write.text(f"{folder}/usage")
-    start_ingest(spark, f"{folder}/usage", None, f"{folder}/bronze", f"{folder}/checkpoint", None).awaitTermination()
+    return F.to_json(F.struct(_scraped(), "seq", node.alias("node"), F.array(pod).alias("pods")))
+
+
+def _scraped() -> Column:
+    return F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("scraped_at")
+
+
+def _pod_documents(changes_: DataFrame) -> Column:
+    """One pod list per spec change, as JSON."""
+    requests = F.struct(
+        F.concat(F.col("cpu_request_millis").cast("string"), F.lit("m")).alias("cpu"), F.col("mem_request_bytes").cast("string").alias("memory")
+    )
+    container = F.struct(F.col("container_name").alias("name"), F.struct(requests.alias("requests")).alias("resources"))
+    metadata = F.struct(F.col("pod_name").alias("name"), F.col("pod_namespace").alias("namespace"))
+    item = F.struct(metadata.alias("metadata"), F.struct(F.array(container).alias("containers")).alias("spec"))
+    return F.to_json(F.struct(_scraped(), "seq", F.array(item).alias("items")))
+
+
+@query("ingested_samples")
+def _(spark, sf):
+    """Landed usage documents, ingested into bronze with the specs that were valid at their time.
+
+    Pod lists land in two parts, the second one earlier in time and so late.
+    """
+    folder = place(spark, "ingest")
+    specs = view(spark, sf, "fx_spec_changes")
+    for part in (F.col("seq") % 3 > 0, F.col("seq") % 3 == 0):
+        specs.filter(part).select(_pod_documents(specs).alias("value")).write.mode("append").text(f"{folder}/pods")
+        start_specs(spark, f"{folder}/pods", f"{folder}/specs", f"{folder}/specs-checkpoint", None, late_seconds=31 * DAY).awaitTermination()
+    samples = view(spark, sf, "fx_samples")
+    samples.select(_usage_documents(samples).alias("value")).write.text(f"{folder}/usage")
+    start_ingest(
+        spark, f"{folder}/usage", None, f"{folder}/bronze", f"{folder}/checkpoint", None, spec_table=f"{folder}/specs"
+    ).awaitTermination()
     found = bronze.read_samples(spark, f"{folder}/bronze", EXACT_TIERS)
-    return found.select(*SERIES, F.col("ts").cast("timestamp_ntz").alias("ts"), "seq", *[F.col(c).cast("bigint").alias(c) for c in METRICS], "cpu_request_millis")
+    return found.select(
+        *SERIES, F.col("ts").cast("timestamp_ntz").alias("ts"), "seq", *[F.col(c).cast("bigint").alias(c) for c in METRICS],
+        "cpu_request_millis", "mem_request_bytes",
+    )
+
+
+@query("rejected_documents")
+def _(spark, sf):
+    """Documents as landed, one in seven cut short: samples by node, and what was counted and kept as rejected."""
+    folder = place(spark, "rejects")
+    samples = view(spark, sf, "fx_samples")
+    text_ = _usage_documents(samples)
+    cut = F.when(F.col("seq") % 7 == 0, text_.substr(F.lit(1), F.length(text_) - 5)).otherwise(text_)
+    samples.select(cut.alias("value")).write.text(f"{folder}/usage")
+    start_ingest(
+        spark, f"{folder}/usage", None, f"{folder}/bronze", f"{folder}/checkpoint", None, rejects_path=f"{folder}/rejects"
+    ).awaitTermination()
+    good = spark.read.parquet(f"{folder}/bronze").groupBy(F.col("node_name").alias("kind")).count()
+    kept = spark.read.parquet(f"{folder}/rejects").groupBy(F.lit("kept").alias("kind")).count()
+    counts = spark.read.parquet(f"{folder}/rejects-counts").agg(F.sum("landed").alias("landed"), F.sum("rejected").alias("rejected"))
+    counted = counts.select(F.expr("stack(2, 'landed', landed, 'rejected', rejected) AS (kind, count)"))
+    return good.unionByName(kept).unionByName(counted).withColumnRenamed("count", "n")
 
 
 def _landed(rows: DataFrame, item: Column, label: str) -> str:
