@@ -103,3 +103,20 @@ def test_recall_with_production_parameters_beyond_100_000_vectors():
     now, before = recall(ann.budget(len(unit))), recall(40_000)
     print(f"recall@5 {now:.3f}, with 40,000 rows {before:.3f}")
     assert now >= 0.9 > before
+
+
+def test_parallel_huge_and_tiny_vectors(spark):
+    """Vectors of one direction and many lengths tie; squares beyond the range of a double do no harm."""
+    rows = [(i, [float(i + 1) * x for x in (1.0, 3.0, 0.1)]) for i in range(800)]
+    found = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 400 == 0)
+    got = {q: [] for q in (0, 400)}
+    for r in sorted(found.collect(), key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append(r.vec_id)
+        assert r.score == 1.0
+    assert got == {0: [1, 2, 3, 4, 5], 400: [0, 1, 2, 3, 4]}
+
+    rows = [(0, [1.0, 1.0]), (1, [1e200, 1e200]), (2, [1e-200, 1e-200]), (3, [1e200, 0.0]), (4, [-1e-200, -3e-200]), (5, [1e308, -1e308])]
+    found = ann.neighbours(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") == 0)
+    got = [(r.vec_id, r.score) for r in sorted(found.collect(), key=lambda r: r["rank"])]
+    assert [i for i, _ in got] == [1, 2, 3, 5, 4]
+    assert [s for _, s in got] == pytest.approx([1.0, 1.0, 0.5**0.5, 0.0, -4 / 20**0.5], abs=1e-15)

@@ -37,8 +37,8 @@ SAMPLE_ROWS = 16_384
 #: Numbers in the sample, whatever the length of a vector.
 SAMPLE_VALUES = 1 << 23
 CHUNK_ROWS = 20_000
-#: Leaf members that the matrix product puts forward for exact scores, beyond those wanted.
-SPARE = 16
+#: Leaf members whose product is so close to that of the last one wanted get exact scores, too.
+ROUNDING = 1e-9
 
 
 @dataclass(frozen=True)
@@ -84,7 +84,16 @@ def budget(points: int) -> int:
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
-    return vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    """Vectors of length 1; scaled first, so that no square passes the range of a double. Zero stays zero."""
+    largest = np.abs(vectors).max(axis=1, keepdims=True, initial=0.0)
+    scaled = vectors / np.where(largest > 0, largest, 1.0)
+    return scaled / np.maximum(np.linalg.norm(scaled, axis=1, keepdims=True), np.finfo(float).tiny)
+
+
+def _cosines(members: np.ndarray, vector: np.ndarray) -> np.ndarray:
+    """Cosines computed in extended precision and rounded once, so parallel vectors tie whatever their lengths."""
+    m, v = members.astype(np.longdouble), vector.astype(np.longdouble)
+    return ((m * v).sum(axis=1) / (np.sqrt((m * m).sum(axis=1)) * np.sqrt((v * v).sum()))).astype(np.float64)
 
 
 def levels(points: int, sampled: int, leaf_rows: int = LEAF_ROWS) -> int:
@@ -204,8 +213,7 @@ def neighbours(
         for batch in batches:
             out = []
             for q, v in zip(batch["q"], batch["v"]):
-                unit = np.asarray(v, np.float64)
-                for t, leaf in forest.search(unit / np.linalg.norm(unit), sizes, wanted_rows):
+                for t, leaf in forest.search(_unit(np.asarray(v, np.float64)[None])[0], sizes, wanted_rows):
                     out += [(t, leaf, p, q, v) for p in range(-(-int(sizes[t, leaf]) // chunk_rows))]
             yield pd.DataFrame(out, columns=["tree", "leaf", "part", "q", "v"])
 
@@ -213,7 +221,9 @@ def neighbours(
     distinct = written(
         asked.select("v").distinct().withColumn("q", F.monotonically_increasing_id()), "queries"
     )
-    probes = distinct.repartition("q").mapInPandas(search, "tree int, leaf long, part long, q long, v array<double>")
+    # a number of its own: few bytes, much work, so these tasks must not be merged
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    probes = distinct.repartition(tasks, "q").mapInPandas(search, "tree int, leaf long, part long, q long, v array<double>")
     if parts.max() > 1:
         several = [(int(t), int(x), int(parts[t, x])) for t, x in zip(*np.nonzero(parts > 1))]
         split = spark.createDataFrame(several, "tree int, leaf long, parts long")
@@ -226,12 +236,12 @@ def neighbours(
         found = []
         if len(queries) and len(members):
             ids, m = members["ids"].tolist(), _matrix(members["v"])
-            unit, wanted = _unit(m), min(k + 1 + SPARE, len(m))
-            norms = np.sqrt((m * m).sum(axis=1))
+            unit, wanted = _unit(m), min(k + 1, len(m))
             for q, vector in zip(queries["q"], queries["v"]):
                 vector = np.asarray(vector, np.float64)
-                near = np.argpartition(-(unit @ vector), wanted - 1)[:wanted]
-                exact = (m[near] * vector).sum(axis=1) / (norms[near] * np.sqrt((vector * vector).sum()))
+                product = unit @ _unit(vector[None])[0]
+                near = np.flatnonzero(product >= np.partition(product, len(m) - wanted)[len(m) - wanted] - ROUNDING)
+                exact = _cosines(m[near], vector)
                 best = sorted((-s, i) for s, at in zip(exact.tolist(), near) for i in ids[at])
                 found += [(q, i, -s) for s, i in best[: k + 1]]
         return pd.DataFrame(found, columns=["q", "vec_id", "score"])
