@@ -79,8 +79,9 @@ def enrich_as_of(samples: DataFrame, specs: DataFrame, chunk_seconds: int = 3600
     """Samples with the latest spec at or before their time.
 
     ``specs`` carries ``ts`` and ``seq``. Rows are handled per series *and time chunk*, so a busy
-    series spreads over its chunks; the spec valid when a chunk begins is carried in from a
-    per-chunk aggregate of the (already reduced) spec table.
+    series spreads over its chunks. The spec valid when a chunk begins comes from a scan over per-chunk
+    summaries (the last spec of a chunk, and the chunks that have samples) and is put in the chunk as its first
+    row, so samples are shuffled once and joined to nothing.
     """
     keys = list(SPEC_KEY)
     fields = [c for c in specs.columns if c in METADATA_DEFAULTS]
@@ -91,14 +92,15 @@ def enrich_as_of(samples: DataFrame, specs: DataFrame, chunk_seconds: int = 3600
         *keys, "ts", "seq", chunk.alias("chunk_us"), F.struct(*fields).alias("spec")
     )
     closing = changes.groupBy(*keys, "chunk_us").agg(F.max_by("spec", order).alias("closing"))
-    chunks = samples.select(*keys, chunk.alias("chunk_us")).distinct()
+    # combined before the shuffle: one row per chunk, not per sample
+    chunks = samples.select(*keys, chunk.alias("chunk_us"), F.lit(True).alias("sampled")).distinct()
     before = Window.partitionBy(*keys).orderBy("chunk_us").rowsBetween(
         Window.unboundedPreceding, -1
     )
     carried = (
         chunks.join(closing, [*keys, "chunk_us"], "full")
         .withColumn("carried", F.last("closing", ignorenulls=True).over(before))
-        .select(*keys, "chunk_us", "carried")
+        .filter(F.col("sampled") & F.col("carried").isNotNull())
     )
 
     sample_columns = [c for c in samples.columns if c not in keys]
@@ -120,6 +122,15 @@ def enrich_as_of(samples: DataFrame, specs: DataFrame, chunk_seconds: int = 3600
         "spec",
         F.col("seq").alias("order_seq"),
     )
+    first = carried.select(
+        *keys,
+        "chunk_us",
+        F.timestamp_micros("chunk_us").cast(samples.schema["ts"].dataType).alias("at"),
+        F.lit(-1).alias("side"),
+        F.lit(None).cast(left.schema["sample"].dataType).alias("sample"),
+        F.col("carried").alias("spec"),
+        F.lit(None).cast("bigint").alias("order_seq"),
+    )
     so_far = (
         Window.partitionBy(*keys, "chunk_us")
         .orderBy("at", "side", "order_seq")
@@ -127,12 +138,9 @@ def enrich_as_of(samples: DataFrame, specs: DataFrame, chunk_seconds: int = 3600
     )
     seen = (
         left.unionByName(right)
+        .unionByName(first)
         .withColumn("seen", F.last("spec", ignorenulls=True).over(so_far))
         .filter(F.col("side") == 1)
     )
-    joined = seen.join(carried, [*keys, "chunk_us"], "left").select(
-        *keys, "sample.*", F.coalesce("seen", "carried").alias("spec")
-    )
+    joined = seen.select(*keys, "sample.*", F.col("seen").alias("spec"))
     return fill_metadata(joined.select(*keys, *sample_columns, "spec.*"))
-
-

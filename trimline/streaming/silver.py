@@ -14,6 +14,7 @@ from trimline.operators.percentiles import metric_aggregate
 from trimline.operators.series import summarise
 from trimline.params import EXACT, Tiering
 from trimline.schemas import METRICS, SERIES
+from trimline.streaming.snapshots import VERSION, Snapshots
 from trimline.streaming.writing import trigger_of, write_batch
 
 _KEY = (*SERIES, "bucket_us")
@@ -175,6 +176,22 @@ def compact(
     write_batch(merged.repartition(F.col("day"), file), target, -1)
 
 
+def publish_silver(spark: SparkSession, path: str, table_path: str, t: Tiering, version: int, first_kept_day: str) -> None:
+    """Compact the silver table and evict days before ``first_kept_day`` (``yyyy-MM-dd``) as one new version.
+
+    The merged rows go to a part of their own and readers of :func:`read_published` move from the version before to
+    this one at once; ``path`` keeps its rows until :func:`drop_days_before`, so a failure in between loses nothing.
+    """
+    kept = F.col("day") >= F.lit(first_kept_day).cast("date")
+    merged = read_silver(spark, path, t).withColumn("day", F.to_date(F.timestamp_micros("bucket_us"))).filter(kept)
+    Snapshots(spark, table_path, ["day"]).replace(merged.withColumn(VERSION, F.lit(version).cast("long")), version)
+
+
+def read_published(spark: SparkSession, table_path: str) -> DataFrame:
+    """The buckets of the newest version of :func:`publish_silver`."""
+    return Snapshots(spark, table_path).read().drop(VERSION)
+
+
 def drop_days_before(spark: SparkSession, path: str, first_kept_day: str) -> list[str]:
     """Delete the day partitions of ``path`` before ``first_kept_day`` (``yyyy-MM-dd``)."""
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
@@ -185,5 +202,3 @@ def drop_days_before(spark: SparkSession, path: str, first_kept_day: str) -> lis
     for name in old:
         files.delete(hadoop(root, name), True)
     return old
-
-

@@ -92,10 +92,11 @@ SELECT concat('ns', cast(s_suppkey % 40 AS string)) AS namespace,
        concat('https://git.example/nation-', cast(s_nationkey AS string)) AS repo_url,
        concat('apps/', cast(s_nationkey AS string)) AS path
 FROM supplier""",
-    # counters that reset (event_id modulo 500)
+    # counters that reset (event_id modulo 500); one metric in four is not on the keep-list
     "fx_counters": """
-SELECT 'dispatched_total' AS metric, event_type AS label_from,
-       CASE WHEN user_id % 2 = 0 THEN 'a' ELSE 'b' END AS label_to, ts, event_id AS seq,
+SELECT CASE user_id % 4 WHEN 0 THEN 'escalations_dispatched_total' WHEN 1 THEN 'cycle_skipped_total'
+            WHEN 2 THEN 'escalation_queue_depth' ELSE 'http_requests_total' END AS metric, event_type AS label_from,
+       CASE WHEN user_id % 3 = 0 THEN 'a' ELSE 'b' END AS label_to, ts, event_id AS seq,
        cast(event_id % 500 AS double) AS value
 FROM events""",
     # one report per order, several per node; the newest one of a node counts

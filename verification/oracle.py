@@ -469,6 +469,13 @@ FROM (SELECT *, row_number() OVER (ORDER BY ts, seq) AS ord FROM fx_annotated) G
         *BASE,
         specs=SPECS,
     ),
+    "samples_enriched_same_scrape": with_views(
+        f"""
+SELECT {KEYS}, ts, seq, cpu_nano,
+       coalesce(max(CASE WHEN seq % 2 = 0 THEN seq % 900 END) OVER (PARTITION BY pod_namespace, pod_name, container_name, ts), 0) AS cpu_request_millis
+FROM fx_samples""",
+        "fx_samples",
+    ),
     "samples_enriched_as_of": with_views(
         f"""
 SELECT {KEYS}, ts, seq, cpu_nano,
@@ -599,6 +606,12 @@ SELECT {WORKLOAD}, pattern, n, steps, idle_seconds, round(idle_share, 4) AS idle
 SELECT pod_namespace || '/' || owner_name AS target, container_name, resource, current_request, recommended_request, est_savings, risk,
        CAST(round_even(confidence * 100, 0) AS BIGINT) AS confidence_percent FROM recs
 ORDER BY est_savings DESC, pod_namespace, owner_kind, owner_name, container_name, resource"""
+    ),
+    "recommendations_by_confidence": recs(
+        """
+SELECT pod_namespace || '/' || owner_name AS target, container_name, resource, current_request, recommended_request, est_savings, risk,
+       CAST(round_even(confidence * 100, 0) AS BIGINT) AS confidence_percent FROM recs
+ORDER BY confidence DESC, pod_namespace, owner_kind, owner_name, container_name, resource"""
     ),
     "savings_by_resource": recs(
         "SELECT resource, count(*) AS recommendations, CAST(sum(est_savings) AS BIGINT) AS est_savings FROM recs GROUP BY resource"
@@ -685,7 +698,10 @@ FROM ({INCREASES}) GROUP BY metric, label_from, label_to, time_bucket(INTERVAL 1
         "fx_counters",
     ),
     "increase_by_labels": with_views(
-        f"SELECT metric, label_from, label_to, round(sum(delta), 6) AS increase FROM ({INCREASES}) GROUP BY metric, label_from, label_to",
+        f"""
+SELECT metric, label_to, round(sum(delta), 6) AS increase FROM ({INCREASES})
+WHERE metric IN ('escalation_queue_depth', 'escalations_dispatched_total', 'escalation_degradations_total', 'cycle_skipped_total')
+GROUP BY metric, label_to""",
         "fx_counters",
     ),
     "latest_gauge": with_views(
@@ -726,6 +742,7 @@ FROM fx_dense GROUP BY {KEYS}, time_bucket({width}, ts)""",
 ORACLES["stream_fine_buckets"] = streamed("INTERVAL 6 HOUR")
 ORACLES["stream_fine_buckets_exact"] = streamed("INTERVAL 6 HOUR", exact=True)
 ORACLES["stream_coarse_buckets"] = streamed("INTERVAL 1 DAY")
+ORACLES["silver_published"] = f"SELECT * FROM ({streamed('INTERVAL 12 HOUR')}) WHERE bucket_start >= TIMESTAMP '2024-01-20'"
 ORACLES["silver_summary"] = with_views(
     f"SELECT s.*, w.data_window_ns FROM (SELECT {KEYS}, {merged()} FROM fine_rows GROUP BY {KEYS}) s JOIN ({WINDOWS}) w USING ({KEYS})",
     "fx_dense",

@@ -22,7 +22,7 @@ from trimline.operators import recommend, rollups, series, waste
 from trimline.operators.percentiles import metric_aggregate
 from trimline.params import EXACT, INCREMENTAL, Sizing, Tiering
 from trimline.plans import report, rightsize, views
-from trimline.schemas import METRICS, POD_LIST_DOCUMENT, SERIES, USAGE_DOCUMENT
+from trimline.schemas import METRICS, POD_LIST_DOCUMENT, SERIES, SPEC_KEY, USAGE_DOCUMENT
 from trimline.scratch import place
 from trimline.sources import bronze, kubelet, reports
 from trimline.sources import gitops as gitops_documents
@@ -38,7 +38,14 @@ from trimline.streaming.buckets import (
 )
 from trimline.streaming.ingest import start_ingest
 from trimline.streaming.reports import start_reports
-from trimline.streaming.silver import read_silver, start_partial_silver, start_silver, summary_from_silver
+from trimline.streaming.silver import (
+    publish_silver,
+    read_published,
+    read_silver,
+    start_partial_silver,
+    start_silver,
+    summary_from_silver,
+)
 from trimline.streaming.snapshots import newest
 from trimline.streaming.specs import start_specs
 from verification.fixtures import VIEWS, sql, view
@@ -196,6 +203,16 @@ def _(spark, sf):
     return enrich.enrich_samples(view(spark, sf, "fx_samples"), specs)
 
 
+@query("samples_enriched_same_scrape")
+def _(spark, sf):
+    """Every second sample has a pod list of its own scrape."""
+    samples = view(spark, sf, "fx_samples").withColumn("scraped_at", F.col("ts"))
+    scraped = samples.filter("seq % 2 = 0").select(*SPEC_KEY, "scraped_at", (F.col("seq") % 900).cast("bigint").alias("cpu_request_millis"))
+    scraped = scraped.groupBy(*SPEC_KEY, "scraped_at").agg(F.max("cpu_request_millis").alias("cpu_request_millis"))
+    found = enrich.enrich_samples(samples, scraped, same_scrape=True)
+    return found.select(*SERIES, "ts", "seq", "cpu_nano", "cpu_request_millis")
+
+
 @query("samples_enriched_as_of")
 def _(spark, sf):
     samples = view(spark, sf, "fx_samples").select(*SERIES, "ts", "seq", "cpu_nano")
@@ -533,6 +550,11 @@ def _(spark, sf):
     return views.recommendations_table(recommend.by_savings(_recommendations(spark, sf)))
 
 
+@query("recommendations_by_confidence")
+def _(spark, sf):
+    return views.recommendations_table(recommend.by_confidence(_recommendations(spark, sf)))
+
+
 @query("savings_by_resource")
 def _(spark, sf):
     return recommend.savings_by_resource(_recommendations(spark, sf))
@@ -697,8 +719,9 @@ def _(spark, sf):
 
 @query("increase_by_labels")
 def _(spark, sf):
-    kept = counters.keep_metrics(view(spark, sf, "fx_counters"), ["dispatched_total"])
-    return rounded(counters.total_by_labels(kept, _LABELS, ["label_from", "label_to"], DAY))
+    """Kept metrics only; series that differ in the other label are added up."""
+    kept = counters.keep_metrics(view(spark, sf, "fx_counters"), counters.KEPT_METRICS)
+    return rounded(counters.total_by_labels(kept, _LABELS, ["label_to"], DAY))
 
 
 @query("latest_gauge")
@@ -794,6 +817,18 @@ def _(spark, sf):
     )
 
 
+@query("silver_published")
+def _(spark, sf):
+    """Silver rows compacted and evicted twice, each time as one version; the second one is read."""
+    folder, t = place(spark, "published"), replace(SILVER_TIERS, as_of=None)
+    start_partial_silver(_dense_stream(spark, sf, 3), f"{folder}/silver", f"{folder}/checkpoint", t, None).awaitTermination()
+    for version, day in enumerate(("2024-01-05", "2024-01-20")):
+        publish_silver(spark, f"{folder}/silver", f"{folder}/table", t, version, day)
+    found = read_published(spark, f"{folder}/table")
+    columns = [*SERIES, F.timestamp_micros("bucket_us").cast("timestamp_ntz").alias("bucket_start"), F.col("n").alias("sample_count")]
+    return rounded(found.select(*columns, *[f"cpu_{k}" for k in ("p50", "p95", "p99", "max")]), 3)
+
+
 @query("silver_exact_summary")
 def _(spark, sf):
     """The same from bronze, with exact buckets recomputed for every batch."""
