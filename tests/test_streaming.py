@@ -4,13 +4,13 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import T0, samples
+from tests.helpers import T0, nearest_rank, samples
 from trimline.operators.buckets import buckets
 from trimline.operators.series import latest_metadata, series_summary
 from trimline.params import EXACT, INCREMENTAL, Tiering
 from trimline.sources.bronze import read_samples, read_tail, write_samples
 from trimline.sources.reports import latest_per_node
-from trimline.streaming.buckets import coarse_stream, fine_stream
+from trimline.streaming.buckets import coarse_stream, fine_stream, read_ranked, start_buckets, value_stream
 from trimline.streaming.ingest import start_ingest, trigger_of
 from trimline.streaming.reports import start_reports
 from trimline.streaming.silver import (
@@ -122,6 +122,40 @@ def test_stream_buckets_equal_batch_buckets(spark, tmp_path, mode):
     assert got == expected and len(got) > 100
 
 
+def test_exact_ranks_of_a_huge_bucket_from_counted_values(spark, tmp_path):
+    """A million samples in one window of one series: the state is a row per distinct value, no array."""
+    n, path = 1_000_000, str(tmp_path / "in")
+    key = {"node_name": "n", "pod_namespace": "ns", "pod_name": "p", "container_name": "c"}
+    value = (F.col("id") * 7919) % 1013
+    spark.range(n).select(
+        *[F.lit(v).alias(k) for k, v in key.items()], (F.lit(T0).cast("timestamp") + F.make_dt_interval(secs=F.col("id") % 299)).alias("ts"),
+        value.alias("cpu_nano"), (value * 2).alias("mem_usage"), F.when(F.col("id") % 2 == 0, value).alias("mem_ws"),
+    ).write.parquet(path)
+    stream = value_stream(spark.readStream.schema(spark.read.parquet(path).schema).parquet(path), Tiering())
+    run(start_buckets(stream, str(tmp_path / "values"), str(tmp_path / "cp"), None))
+    assert spark.read.parquet(str(tmp_path / "values")).count() <= 3 * 1013
+    row = read_ranked(spark, str(tmp_path / "values")).first()
+    cpu = sorted((i * 7919) % 1013 for i in range(n))
+    ws = sorted((i * 7919) % 1013 if i % 2 == 0 else 0 for i in range(n))  # missing usage is 0
+    for prefix, values in (("cpu", cpu), ("ws", ws)):
+        assert [row[f"{prefix}_{k}"] for k in ("p50", "p95", "p99", "max")] == [nearest_rank(values, q) for q in (0.5, 0.95, 0.99, 1)]
+    assert row.n == n and row.usage_max == 2 * cpu[-1]
+
+
+def test_missing_keys_and_usage_have_one_rule(spark, tmp_path):
+    """A series without a container name, and missing usage, count alike in batch and exact silver."""
+    bronze, silver = str(tmp_path / "bronze"), str(tmp_path / "silver")
+    t = Tiering(as_of=T0 + timedelta(hours=1))
+    rows = samples(spark, [(T0 + timedelta(seconds=i), v) for i, v in enumerate([1, 1, 1, 10, 20])]).withColumn("ts", F.col("ts").cast("timestamp"))
+    rows = rows.withColumns({"container_name": F.lit(None).cast("string"), "cpu_nano": F.when(F.col("cpu_nano") > 1, F.col("cpu_nano"))})
+    write_samples(rows, bronze)
+    run(start_silver(spark, bronze, silver, str(tmp_path / "cp"), t, None))
+    kept = read_silver(spark, silver, t).collect()
+    batch = buckets(rows, t).collect()
+    assert [(r.container_name, r.n, r.cpu_p50, r.cpu_max) for r in kept] == [("", 5, 0.0, 20.0)]
+    assert [(r.container_name, r.sample_count, r.cpu_p50, r.cpu_max) for r in batch] == [("", 5, 0.0, 20.0)]
+
+
 def test_chained_hourly_stream(spark, tmp_path):
     rows = series_rows()
     path = str(tmp_path / "in")
