@@ -1,4 +1,6 @@
+import math
 import random
+from collections import Counter
 from fractions import Fraction
 
 import pytest
@@ -102,3 +104,30 @@ def test_mix_follows_small_weights_to_the_end(spark):
     for r in got:
         w = Fraction(weights[r.source]) / sum(map(Fraction, weights.values()))
         assert r.block // w <= r.slot < -(-(r.block + 1) // w)
+
+
+def _naive(weights, blocks):
+    """(source, block) -> slot, by looking at all sources in every slot."""
+    total = sum(Fraction(w) for w in weights.values())
+    exact = {s: Fraction(w) / total for s, w in weights.items()}
+    done, slot, out = dict.fromkeys(blocks, 0), 0, {}
+    while any(done[s] < blocks[s] for s in blocks):
+        free = [s for s in blocks if done[s] < blocks[s] and done[s] / exact[s] < slot + 1]
+        if free:
+            source = min(free, key=lambda s: (math.ceil((done[s] + 1) / exact[s]), s is not None, s or ""))
+            out[source, done[source]] = slot
+            done[source] += 1
+        slot += 1
+    return out
+
+
+def test_query_equals_a_naive_schedule(spark):
+    """Every row of the query against a schedule made slot by slot, and places that fill the blocks."""
+    rows = queries.op4_mixing(spark, "/root/testdata/sf0.01").collect()
+    counts = Counter(r.source for r in rows)
+    weights = {s: float(n) ** mixing.TEMPERATURE for s, n in counts.items()}
+    slots = _naive(weights, {s: -(-n // mixing.BLOCK_ROWS) for s, n in counts.items()})
+    assert {(r.source, r.block): r.slot for r in rows} == slots
+    for s, n in counts.items():
+        places = sorted((r.block, r.place) for r in rows if r.source == s)
+        assert places == [(i // mixing.BLOCK_ROWS, i % mixing.BLOCK_ROWS) for i in range(n)]

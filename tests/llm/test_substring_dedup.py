@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import duckdb
+import numpy as np
 import pytest
 
 from trimline.llm import queries, substring_dedup
@@ -78,3 +79,12 @@ def test_other_lengths_and_empty_table(spark):
     assert substring_dedup.without_repeats(frame.limit(0)).count() == 0
     with pytest.raises(ValueError):
         substring_dedup.without_repeats(frame, min_words=5)
+
+
+def test_word_numbers_of_any_size_are_told_apart():
+    """Numbers of 2**21 and more do not run into their neighbours."""
+    words = np.zeros((4, 20), np.int64)
+    words[0, 1], words[1, 0] = 1, 1 << 21
+    words[2, 1], words[3, 0] = 1, 1 << 40
+    order = np.array([[0, 0], [1, 0], [2, 0], [3, 0]])
+    assert substring_dedup.repeated_windows(words, 20, order).tolist() == [False, False, True, False]

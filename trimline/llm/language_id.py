@@ -210,8 +210,10 @@ def fit(
             found: dict[tuple[str, str], int] = {}
             for lang, text in zip(batch["lang"], batch["text"]):
                 for word in words_of(text):
-                    if len(word) <= FITTED_LENGTH:
-                        found[lang, word] = found.get((lang, word), 0) + 1
+                    # longer runs of letters count as consecutive parts
+                    for at in range(0, len(word), FITTED_LENGTH):
+                        part = word[at : at + FITTED_LENGTH]
+                        found[lang, part] = found.get((lang, part), 0) + 1
             yield pd.DataFrame([(a, b, n) for (a, b), n in found.items()], columns=["lang", "word", "n"])
 
     counted = bound_batches(sample).select("lang", "text").mapInPandas(split, "lang string, word string, n long")

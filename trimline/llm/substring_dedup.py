@@ -122,9 +122,11 @@ def repeated_windows(words: np.ndarray, min_words: int, order: np.ndarray) -> np
 
     Sorts the suffixes and takes the depth shared by neighbours; a node of full depth is a run of equals.
     """
-    packed = [  # three word numbers below 2**21 in one integer
-        sum(words[:, j + i].astype(np.int64) << (21 * i) for i in range(min(3, min_words - j)))
-        for j in range(0, min_words, 3)
+    bits = max(1, int(words.max(initial=0)).bit_length())
+    each = max(1, 63 // bits)  # word numbers that fit in one integer
+    packed = [
+        sum(words[:, j + i].astype(np.int64) << (bits * i) for i in range(min(each, min_words - j)))
+        for j in range(0, min_words, each)
     ]
     place = np.lexsort((*order.T[::-1], *packed[::-1]))
     same = np.ones(len(place) - 1, bool)
