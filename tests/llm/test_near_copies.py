@@ -71,3 +71,19 @@ def test_large_groups_are_joined_as_by_all_pairs(spark, rounds):
     assert left.columns == docs.columns
     assert sorted((r.doc_id for r in left.collect()), key=str) == sorted([*stay, 500, 502, None], key=str)
     assert near_copies.without_near_copies(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [256, 16])
+def test_a_group_that_no_pivot_joins_is_compared_in_blocks(spark, block, monkeypatch):
+    """A chain: each text is near the next one only, so pivots join little."""
+    monkeypatch.setattr(near_copies, "BLOCK", block)
+    rng = random.Random(9)
+    words, rows = [f"w{i}" for i in range(200)], []
+    for i in range(90):
+        for _ in range(2):
+            words[rng.randrange(200)] = f"x{rng.random()}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    texts = {i: _set(t) for i, t in rows}
+    stay = _stay(texts, itertools.combinations(texts, 2))
+    assert sorted(r.doc_id for r in near_copies.without_near_copies(docs, pairs=4).collect()) == sorted(stay)
