@@ -79,3 +79,28 @@ def test_short_templates_are_refused(spark):
 def test_plan_has_no_python(spark):
     plan = license_scan.scan(spark.read.parquet("/root/testdata/sf0.001/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def _any_stretch(words, template):
+    """Whether some stretch of twice the template's words, from any start, holds 0.8 of its shingles."""
+    own = license_scan.template_words(template)
+    grams = {tuple(own[k : k + 5]) for k in range(len(own) - 4)}
+    for at in range(max(1, len(words) - 4)):
+        end = min(at + 2 * len(own), len(words))
+        if len({tuple(words[k : k + 5]) for k in range(at, end - 4)} & grams) >= 0.8 * len(grams) - 1e-9:
+            return True
+    return False
+
+
+def test_stretched_copies_are_found_from_every_start(spark):
+    """Two insertions of eight words in a template of 60, at every offset, against all starts."""
+    own = [f"word{k}" for k in range(60)]
+    copy = [*own[:20], *[f"in{k}" for k in range(8)], *own[20:40], *[f"more{k}" for k in range(8)], *own[40:]]
+    long = [*own[:30], *[f"far{k}" for k in range(59)], *own[30:]]
+    too_long = [*own[:30], *[f"far{k}" for k in range(400)], *own[30:]]
+    texts = [[f"x{k}" for k in range(shift)] + body + ["end"] * 30 for shift in range(18) for body in (copy, long, too_long)]
+    frame = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    template = {"t": " ".join(own)}
+    got = {r.doc_id for r in license_scan.scan(frame, template).collect()}
+    expected = {i for i, t in enumerate(texts) if _any_stretch(t, template["t"])}
+    assert got == expected == {i for i in range(len(texts)) if i % 3 < 2}

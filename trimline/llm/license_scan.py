@@ -1,16 +1,18 @@
 """License scan: MinHash bands over overlapping windows, then exact containment; DataFrame functions only.
 
 Words are runs of letters and digits, lower-cased; shingles are five words. A template of ``n`` words is
-looked for in windows of ``1.25 n`` words that start every ``n / 4`` words. A window matches if it holds
-at least 0.8 of the template's distinct shingles. Such a window has a Jaccard similarity of at least
-``0.8 t / (w + 0.2 t)`` (``t`` and ``w``: shingles of template and window), and the number of bands is the
-smallest that finds that similarity with a probability of ``FOUND`` or more. Every window that shares a
-band with a template is verified by exact containment, so nothing is reported by chance.
-
-Two filters that lose nothing come first. A match lacks at most 0.2 of the template's shingles, so it
+looked for in windows of ``2.25 n`` words that start every ``n / 4`` words, so that every stretch of ``2 n``
+words lies whole in a window: a copy may be stretched to twice its length by insertions, wherever it
+starts. A window matches if it holds at least 0.8 of the template's distinct shingles. Such a window has a
+Jaccard similarity of at least ``0.8 t / (w + 0.2 t)`` (``t`` and ``w``: shingles of template and window),
+and the number of bands is the smallest that finds that similarity with a probability of ``FOUND`` or
+more. Every window that shares a band with a template is verified by exact containment, so nothing is
+reported by chance.
+
+Filters that lose nothing come first. A match lacks at most 0.2 of the template's shingles, so it
 holds a shingle with one of a few anchor words (the longest words whose shingles are more than that
-share): texts without any anchor are passed over. And only windows with a shingle of some template are
-hashed. Templates are a stated, short list of at most ``MOST_TEMPLATES``, and are broadcast.
+share): texts without any anchor are passed over. Of a window only the shingles that some template has
+are hashed, which can only raise its similarity to a template. Templates are a stated, short list of at most ``MOST_TEMPLATES``, and are broadcast.
 
 Defined results: null and empty texts, and texts of fewer than five words, match nothing; a template that
 stands in several windows is reported once per id, at the best window, the first of equals; rows that
@@ -27,7 +29,7 @@ from pyspark.sql import functions as F
 
 SHINGLE, CONTAINED = 5, 0.8
 #: Hashes in a band, and the probability of finding a window at the threshold.
-ROWS, FOUND = 2, 0.9995
+ROWS, FOUND = 1, 0.9995
 MOST_TEMPLATES = 1_000
 
 # Public license statements and notices.
@@ -110,7 +112,8 @@ def anchors(templates: dict[str, str]) -> list[str]:
 
 def window(n: int) -> tuple[int, int]:
     """Length and stride of the windows for a template of ``n`` words."""
-    return math.ceil(1.25 * n), max(1, n // 4)
+    stride = max(1, n // 4)
+    return 2 * n + stride, stride
 
 
 def bands(n: int) -> int:
@@ -134,7 +137,8 @@ def _signature(grams: Column, count: Column) -> Column:
 
 
 def _windows(n: int) -> Column:
-    """(n, bands, at, grams) of the windows for templates of ``n`` words that hold one of the ``hits``."""
+    """(n, bands, at, grams) of the windows for templates of ``n`` words that hold one of the ``hits``;
+    ``g`` is null where no template has the shingle."""
     length, stride = window(n)
     inside = length - SHINGLE  # the last shingle of a window starts here
 
@@ -144,7 +148,7 @@ def _windows(n: int) -> Column:
 
     def cut(k: Column) -> Column:
         at = k * stride
-        grams = F.array_distinct(F.slice(F.col("g"), at + 1, inside + 1))
+        grams = F.array_distinct(F.array_compact(F.slice(F.col("g"), at + 1, inside + 1)))
         return F.struct(F.lit(n).alias("n"), F.lit(bands(n)).alias("bands"), at.alias("at"), grams.alias("grams"))
 
     return F.transform(F.array_distinct(F.flatten(F.transform("hits", around))), cut)
@@ -178,7 +182,8 @@ def scan(
         has_anchor = has_anchor | F.contains(low, F.lit(word))
     tokens = docs.filter(has_anchor).select(F.col(f"`{id_col}`").alias("doc_id"), once(words(text)).alias("tokens"))
     grams = tokens.select("doc_id", once(shingles(F.col("tokens"))).alias("g"))
-    places = F.array_compact(F.transform("g", lambda x, i: F.when(x.isin(wanted), i)))
+    grams = grams.select("doc_id", once(F.transform("g", lambda x: F.when(x.isin(wanted), x))).alias("g"))
+    places = F.array_compact(F.transform("g", lambda x, i: F.when(x.isNotNull(), i)))
     hits = grams.select("doc_id", "g", once(places).alias("hits")).filter(F.size("hits") > 0)
     every = F.concat(*[_windows(n) for n in lengths])
     windows = hits.select("doc_id", F.explode(every).alias("w")).select("doc_id", "w.*")
