@@ -69,3 +69,11 @@ def test_query_equals_its_sql(spark):
 def test_plan_has_no_python(spark):
     plan = exact_dedup.decisions(spark.read.parquet(f"{SF_DIR}/documents.parquet"))._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
+
+
+def test_columns_named_like_helpers_keep_their_values(spark):
+    names = ["doc_id", "text", "__digest", "__rank", "__keep_id", "digest_of_text", "id_to_keep", "place", "PLACE_"]
+    rows = [(i, f"t{i % 2}", *[f"{n}{i}" for n in names[2:]]) for i in range(6)]
+    left = exact_dedup.without_copies(spark.createDataFrame(rows, names))
+    assert left.columns == names
+    assert sorted(tuple(r) for r in left.collect()) == rows[:2]

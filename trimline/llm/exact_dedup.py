@@ -16,6 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from trimline.llm.tables import fresh
 from trimline.scratch import written
 
 #: Counters of a sketch, digests taken from all sketches, and sketches that share the digests.
@@ -92,14 +93,11 @@ def without_copies(
     Copies of frequent texts are removed where they are read, the rest after a shuffle by digest.
     """
     rows = written(_digests(docs, id_col, text_col), "digests")
-    winners = _winners(rows, tracked, heavy).select(
-        F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep_id")
-    )
+    digest, keep, rank = (fresh(docs, name) for name in ("digest_of_text", "id_to_keep", "place"))
+    winners = _winners(rows, tracked, heavy).select(F.col("digest").alias(digest), F.col("keep_id").alias(keep))
     ids = F.col(f"`{id_col}`").cast("long")
-    marked = docs.withColumn("__digest", F.sha2(normalised(F.col(f"`{text_col}`")), 256))
-    left = marked.join(F.broadcast(winners), "__digest", "left").filter(
-        F.col("__keep_id").isNull() | ids.eqNullSafe(F.col("__keep_id"))
-    )
-    order = Window.partitionBy("__digest").orderBy(ids.asc_nulls_last())
-    one = left.withColumn("__rank", F.row_number().over(order)).filter("__rank = 1")
+    marked = docs.withColumn(digest, F.sha2(normalised(F.col(f"`{text_col}`")), 256))
+    left = marked.join(F.broadcast(winners), digest, "left").filter(F.col(keep).isNull() | ids.eqNullSafe(F.col(keep)))
+    order = Window.partitionBy(digest).orderBy(ids.asc_nulls_last())
+    one = left.withColumn(rank, F.row_number().over(order)).filter(F.col(rank) == 1)
     return one.select(*[F.col(f"`{c}`") for c in docs.columns])
