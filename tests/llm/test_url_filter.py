@@ -1,4 +1,5 @@
 import duckdb
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
 
 from trimline.llm import queries, url_filter
@@ -67,3 +68,32 @@ def test_nothing_to_learn_and_no_rows(spark):
     pages = spark.createDataFrame([(1, "http://a.net/x")], "page_id long, url string")
     assert [r.verdict for r in url_filter.judge(pages).collect()] == ["allow"]
     assert url_filter.judge(pages.filter(F.lit(False))).count() == 0
+
+
+def test_suffix_counts_cover_all_labelled_urls(spark):
+    """Against plain counting, with many more suffixes than rows of a sample."""
+    rows = [(f"http://a{i}.s{i % 700}/x", i % 3 == 0) for i in range(3000)]
+    frame = spark.createDataFrame([(u, u[7:-2], int(b)) for u, b in rows], "url string, host string, blocked int")
+    got = {r.suffix: (r.share, r.weight) for r in url_filter.suffix_counts(frame).collect()}
+    plain = {}
+    for i in range(3000):
+        n, b = plain.get(f"s{i % 700}", (0, 0))
+        plain[f"s{i % 700}"] = n + 1, b + (i % 3 == 0)
+    assert got == {s: ((b + 1) / (n + 2), n / (n + 10)) for s, (n, b) in plain.items()}
+
+
+def test_verdicts_follow_the_fitted_trees(spark):
+    """Verdicts of the query's URLs without a rule are those of the trees that ``fit`` returns, scored one by one."""
+    sf_dir = "/root/testdata/sf0.001"
+    pages = duckdb.sql(f"SELECT page_id, url FROM '{sf_dir}/pages.parquet'").fetchall()
+    known = [(u, *_parts(u), int(url_filter.RULES[_rule(*_parts(u))] == "block")) for _, u in pages if _rule(*_parts(u))]
+    trees, counts = url_filter.fit(spark.createDataFrame(known, "url string, host string, path string, blocked int"))
+    table = {r.suffix: (r.share, r.weight) for r in counts.collect()}
+    free = spark.createDataFrame([(i, u, *_parts(u)) for i, u in pages if not _rule(*_parts(u))], "page_id long, url string, host string, path string")
+    got = {r.page_id: r.verdict for r in queries.op5_url_filter(spark, sf_dir).collect()}
+    rows = url_filter.features(free).collect()
+    assert rows
+    for r in rows:
+        known_suffix = table.get(r.host.rsplit(".", 1)[-1], (0.5, 0.0))
+        vector = Vectors.dense([r[c] for c in url_filter.FEATURES[:-2]] + list(known_suffix))
+        assert got[r.page_id] == ("block" if trees.predict(vector) == 1.0 else "allow")

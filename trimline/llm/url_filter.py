@@ -6,7 +6,8 @@ its subdomains, and the longest rule that fits decides. URLs that no rule fits g
 boosted trees, which are fitted on labelled URLs: by default those that the rules decide.
 
 The trees see lexical features only. They are fitted on a bounded sample: the ``sample_rows``
-labelled URLs with the smallest hashes. Every URL is judged.
+labelled URLs with the smallest hashes. Suffix statistics are counted over all labelled URLs and joined to
+every URL by its suffix. Every URL is judged.
 
 Defined results: a null URL or one without ``://`` has an empty host and path, which no rule fits,
 and is judged by the trees; repeated URLs get equal verdicts; with fewer than two classes to learn
@@ -27,8 +28,6 @@ RULES = {"org/": "allow", "example.org/es/": "block", "example.org/en/1": "block
 
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, STEP = 20, 4, 0.2
-#: Suffixes whose share of blocked URLs is kept; rarer ones share one value.
-SUFFIXES = 500
 
 FEATURES = [
     "length", "host_length", "path_length", "depth", "labels", "digit_ratio", "host_digit_ratio", "hyphens",
@@ -102,39 +101,37 @@ def suffix(host_col: Column) -> Column:
     return F.substring_index(host_col, ".", -1)
 
 
-def _with_suffix(rows: DataFrame, table: dict[str, tuple[float, float]]) -> DataFrame:
-    """Add the share of blocked labels of the suffix and the weight of that evidence."""
-    unknown = F.array(F.lit(0.5), F.lit(0.0))
-    if table:
-        pairs = [x for s, v in table.items() for x in (F.lit(s), F.array(F.lit(v[0]), F.lit(v[1])))]
-        stats = F.coalesce(F.element_at(F.create_map(*pairs), suffix(F.col("host"))), unknown)
-    else:
-        stats = unknown
-    return rows.withColumns({"suffix_share": stats[0], "suffix_weight": stats[1]})
+def suffix_counts(labelled: DataFrame) -> DataFrame:
+    """(suffix, share, weight): smoothed share of blocked URLs of each suffix, and the weight of that evidence."""
+    counts = labelled.groupBy(suffix(F.col("host")).alias("suffix")).agg(F.count("*").alias("n"), F.sum("blocked").alias("b"))
+    return counts.select("suffix", ((F.col("b") + 1) / (F.col("n") + 2)).alias("share"), (F.col("n") / (F.col("n") + 10)).alias("weight"))
+
+
+def _with_suffix(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Add the statistics of the suffix; 0.5 and no weight for one that no labelled URL has."""
+    known = {"suffix_share": F.coalesce("share", F.lit(0.5)), "suffix_weight": F.coalesce("weight", F.lit(0.0))}
+    joined = rows.withColumn("suffix", suffix(F.col("host"))).join(counts, "suffix", "left")
+    return joined.withColumns(known).drop("suffix", "share", "weight")
 
 
 def fit(
     labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, seed: int = 7
-) -> tuple[GBTClassificationModel, dict[str, tuple[float, float]]] | None:
+) -> tuple[GBTClassificationModel, DataFrame] | None:
     """Trees and suffix statistics from (url, host, path, blocked); None with fewer than two classes."""
+    counts = written(suffix_counts(labelled), "url-suffixes")
     labelled = labelled.select("url", "host", "path", "blocked").withColumn("h", F.xxhash64("url"))
     # a threshold on the hash first, so that each task passes on few rows to the final ordering
     share = min(1.0, 2.0 * sample_rows / max(1, labelled.count()))
     near = labelled.filter(F.col("h") <= int(-(2**63) + share * (2**64 - 1025)))
     sample = near.orderBy("h", "url", "blocked").limit(sample_rows).drop("h")
     sample = written(features(sample).coalesce(1), "url-sample")
-    counts = sample.groupBy(suffix(F.col("host")).alias("s")).agg(
-        F.count("*").alias("n"), F.sum("blocked").alias("b")
-    )
-    top = counts.orderBy(F.desc("n"), "s").limit(SUFFIXES).collect()  # at most SUFFIXES rows
-    table = {r["s"]: ((r["b"] + 1) / (r["n"] + 2), r["n"] / (r["n"] + 10)) for r in top}
     if sample.select("blocked").distinct().count() < 2:
         return None
-    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_with_suffix(sample, table))
+    data = VectorAssembler(inputCols=FEATURES, outputCol="features").transform(_with_suffix(sample, counts).coalesce(1))
     trees = GBTClassifier(
         labelCol="blocked", maxIter=TREES, maxDepth=DEPTH, stepSize=STEP, seed=seed, maxBins=32
     )
-    return trees.fit(data.select("features", F.col("blocked").cast("double"))), table
+    return trees.fit(data.select("features", F.col("blocked").cast("double"))), counts
 
 
 def judge(
@@ -169,11 +166,11 @@ def judge(
     if model is None:
         scored = rows.withColumn("block_score", F.lit(0.0))
     else:
-        trees, table = model
+        trees, counts = model
         from pyspark.ml.functions import vector_to_array
 
         vectors = VectorAssembler(inputCols=FEATURES, outputCol="features", handleInvalid="keep")
-        scored = trees.transform(vectors.transform(_with_suffix(features(rows), table)))
+        scored = trees.transform(vectors.transform(_with_suffix(features(rows), counts)))
         scored = scored.withColumn("block_score", vector_to_array("probability")[1])
     by_trees = F.when(F.col("block_score") > 0.5, "block").otherwise("allow")
     return scored.select(
