@@ -73,3 +73,12 @@ def test_odd_rows(spark):
     nothing = language_id.fit(docs.filter("lang = 'xx'"), pieces)
     assert {r.lang_pred for r in language_id.predict(docs, nothing).collect()} == {"und"}
     assert language_id.predict(docs.limit(0), model).count() == 0
+
+
+def test_pieces_of_any_length_count():
+    long = "▁" + "ab" * 12
+    vocabulary = [*VOCABULARY, long]
+    probability = np.full((len(vocabulary), 1), 0.3)
+    got = language_id.forward(language_id.Lattice(vocabulary), [long], probability)[0, 0]
+    without = language_id.forward(language_id.Lattice(VOCABULARY), [long], probability[:-1])[0, 0]
+    assert math.exp(got) == pytest.approx(math.exp(without) + 0.3)

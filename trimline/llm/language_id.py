@@ -35,8 +35,8 @@ UNKNOWN = "und"
 SAMPLE_DOCS, ROUNDS = 400, 3
 #: Languages that one model may have; labels beyond that are an error, not a language list.
 MOST_LANGUAGES = 500
-#: Characters of the longest piece, and of a word that counts in fitting (all words count in scoring).
-LONGEST, FITTED_LENGTH = 12, 48
+#: Letters of a run that fitting takes as one word (longer runs count in parts; scoring takes all whole).
+FITTED_LENGTH = 48
 #: Added to every expected count, and the probability of a character outside the vocabulary.
 SMOOTHING, OUTSIDE = 0.01, 1e-9
 #: Words whose scores a Python worker remembers, before it starts afresh.
@@ -60,7 +60,7 @@ def load(path: str) -> list[str]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     found = (model.id_to_piece(i).lower() for i in range(model.get_piece_size()))
-    letters = (p for p in found if _WORD.fullmatch(p.removeprefix(MARK)) and len(p) <= LONGEST)
+    letters = (p for p in found if _WORD.fullmatch(p.removeprefix(MARK)))
     return list(dict.fromkeys(letters))
 
 
@@ -72,6 +72,7 @@ class Lattice:
         for i, piece in enumerate(vocabulary):
             by_length.setdefault(len(piece), []).append(i)
         self.tables, self.power = {}, {}
+        self.longest = max(by_length, default=0)
         for n, ids in sorted(by_length.items()):
             codes = np.frombuffer("".join(vocabulary[i] for i in ids).encode("utf-32-le"), np.uint32)
             keys = self._keys(codes.reshape(-1, n))[:, -1]
@@ -124,7 +125,7 @@ def forward(lattice: Lattice, words: list[str], probability: np.ndarray) -> np.n
     for group in _by_length(words):
         here = [words[i] for i in group]
         length = len(here[0])
-        # the last LONGEST sums, scaled to 1 at their newest; the scale is kept as a logarithm
+        # the sums that a piece can still reach, scaled to 1 at their newest; the scale is kept as a logarithm
         alpha = np.zeros((length + 1, len(here), probability.shape[1]))
         alpha[0] = 1.0
         scale = np.zeros((len(here), probability.shape[1]))
@@ -138,7 +139,7 @@ def forward(lattice: Lattice, words: list[str], probability: np.ndarray) -> np.n
                 pending = next(arcs, None)
             top = alpha[end].copy()
             scale += np.log(top)
-            low = max(0, end - LONGEST)
+            low = max(0, end - lattice.longest)
             alpha[low : end + 1] /= top
         out[group] = scale
     return out
