@@ -131,3 +131,11 @@ def test_query_equals_a_naive_schedule(spark):
     for s, n in counts.items():
         places = sorted((r.block, r.place) for r in rows if r.source == s)
         assert places == [(i // mixing.BLOCK_ROWS, i % mixing.BLOCK_ROWS) for i in range(n)]
+
+
+def test_columns_named_like_helpers_keep_their_values(spark):
+    names = ["doc_id", "source", "__n", "__s", "__h", "__p", "__rank", "__low", "c0", "c1", "__id"]
+    rows = [(i, "ab"[i % 2], *[f"{n}{i}" for n in names[2:]]) for i in range(6)]
+    got = mixing.mix(spark.createDataFrame(rows, names), {"a": 0.5, "b": 0.5})
+    assert got.columns == [*names, "block", "slot", "place"]
+    assert sorted(tuple(r)[:-3] for r in got.collect()) == rows

@@ -154,11 +154,13 @@ def mix(
     spark = docs.sparkSession
     parts = whole(weights) if cycle is None else shares(weights, cycle)
     source = F.col(f"`{source_col}`").cast("string")
-    named = docs.drop("block", "slot", "place")
-    named = named.withColumns({"__s": source, "__h": F.xxhash64(F.col(f"`{id_col}`"))})
-    ranges = named.repartitionByRange("__s", "__h", F.col(f"`{id_col}`")).sortWithinPartitions(
-        "__s", "__h", F.col(f"`{id_col}`")
+    kept = [c for c in docs.columns if c.lower() not in ("block", "slot", "place")]
+    # the caller's columns go by number here, so that none has the name of a helper column
+    ids = F.col(f"`{id_col}`")
+    named = docs.select(
+        *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(kept)], source.alias("__s"), F.xxhash64(ids).alias("__h"), ids.alias("__id")
     )
+    ranges = named.repartitionByRange("__s", "__h", "__id").sortWithinPartitions("__s", "__h", "__id").drop("__h", "__id")
     # written once: row numbers within a range must not change between the two uses
     numbered = written(ranges.withColumn("__n", F.monotonically_increasing_id()), "ranges")
     part = F.shiftright("__n", 33)
@@ -188,7 +190,7 @@ def mix(
     rank = F.col("__before") + F.col("__n") - F.col("__low")
     rows = rows.withColumn("__rank", rank).withColumn("block", F.floor(F.col("__rank") / block_rows).cast("long"))
     rows = _null_safe(rows, plan, ["__s", "block"]).withColumn("place", (F.col("__rank") % block_rows).cast("int"))
-    return rows.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("block", "slot", "place")], "block", "slot", "place")
+    return rows.select(*[F.col(f"c{i}").alias(c) for i, c in enumerate(kept)], "block", "slot", "place")
 
 
 def _null_safe(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:

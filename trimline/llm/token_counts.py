@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from trimline.llm.batches import bound_batches, pieces
 
 MARK = "▁"
-#: Characters of the longest piece that the trie looks for.
-LONGEST = 16
 #: Characters of a pre-token up to which levels are worked as arrays; longer ones go one by one.
 LEVELS = 64
 #: Pre-tokens whose counts a Python worker remembers, before it starts afresh.
@@ -46,7 +44,7 @@ class Unigrams:
 
 def zipf(pieces_by_rank: list[str], byte_tokens: int = 256) -> Unigrams:
     """Pieces in the order of their rank; bytes share the rank after the last piece."""
-    usable = [p for p in dict.fromkeys(pieces_by_rank) if 0 < len(p) <= LONGEST]
+    usable = [p for p in dict.fromkeys(pieces_by_rank) if p]
     weights = 1.0 / np.arange(1, len(usable) + byte_tokens + 1)
     logs = np.log(weights / weights.sum())
     return Unigrams(dict(zip(usable, logs[: len(usable)].tolist())), float(logs[-1]))
@@ -87,6 +85,7 @@ class Trie:
             scores = np.array([model.score[w] for w in words])
             self.tables[n] = (keys[order], scores[order])
         self.power = {n: _power(n) for n in self.tables}
+        self.longest = max(self.tables, default=0)
 
     def counts(self, words: list[str]) -> np.ndarray:
         """Tokens of each distinct word."""
@@ -127,7 +126,7 @@ class Trie:
             best = score[depth - 1][parent] + size * self.model.byte_score
             count = tokens[depth - 1][parent] + size
             ancestor = np.arange(len(distinct))
-            for n in range(1, min(depth, LONGEST) + 1):
+            for n in range(1, min(depth, self.longest) + 1):
                 ancestor = parents[depth - n + 1][ancestor]
                 if n not in self.tables:
                     continue
@@ -148,7 +147,7 @@ class Trie:
         for i in range(1, len(word) + 1):
             size = len(word[i - 1].encode("utf-8", "surrogatepass"))
             best, count = score[i - 1] + size * model.byte_score, tokens[i - 1] + size
-            for n in range(1, min(i, LONGEST) + 1):
+            for n in range(1, min(i, self.longest) + 1):
                 piece = model.score.get(word[i - n : i])
                 if piece is not None:
                     s, c = score[i - n] + piece, tokens[i - n] + 1
