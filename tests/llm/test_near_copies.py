@@ -87,3 +87,7 @@ def test_a_group_that_no_pivot_joins_is_compared_in_blocks(spark, block, monkeyp
     texts = {i: _set(t) for i, t in rows}
     stay = _stay(texts, itertools.combinations(texts, 2))
     assert sorted(r.doc_id for r in near_copies.without_near_copies(docs, pairs=4).collect()) == sorted(stay)
+
+
+def test_blocks_keep_their_documented_bound():
+    assert near_copies.BLOCK == 256
