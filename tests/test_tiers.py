@@ -165,6 +165,24 @@ def test_nearest_rank(spark, hot_rows):
         ), k
 
 
+def test_rows_of_hot_groups_stay_where_they_are_read(spark):
+    """Without a hint all rows are planned to be moved to the three partitions of their keys and sorted there."""
+    df = spark.createDataFrame([(i % 3, float(i % 700)) for i in range(6000)], "k int, v double")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    try:
+        found = metric_aggregate(df, ["k"], {"v": "m"}, 500)
+        rows = {r.k: r for r in found.collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    for k in range(3):
+        vs = [float(i % 700) for i in range(6000) if i % 3 == k]
+        assert (rows[k].n, rows[k].m_p50, rows[k].m_p99) == (2000, nearest_rank(vs, 0.5), nearest_rank(vs, 0.99))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "LeftAnti" in line or "LeftSemi" in line]
+    assert joins and all("BroadcastHashJoin" in line for line in joins), plan
+
+
 def test_percentiles_of_nothing_are_zero(spark):
     df = spark.createDataFrame([(1, None)], "k int, v double")
     for hot_rows in (10, 1):

@@ -41,18 +41,25 @@ def nearest_ranks(df: DataFrame, prefixes: Sequence[str]) -> DataFrame:
 
 
 def metric_aggregate(
-    df: DataFrame, keys: Sequence[str], values: Mapping[str, str], hot_rows: int = 200_000
+    df: DataFrame,
+    keys: Sequence[str],
+    values: Mapping[str, str],
+    hot_rows: int = 200_000,
+    extra: Sequence[Column] = (),
+    inputs: Sequence[str] = (),
 ) -> DataFrame:
     """P50/P95/P99/Max and count ``n`` per group of ``keys``; ``values`` maps column to prefix.
 
+    ``extra`` are further aggregates, over columns named in ``inputs``.
+
     Groups with fewer than ``hot_rows`` rows are sorted in memory. Larger ones are ranked by
     :func:`split_aggregate`; with none of them, AQE drops that whole branch.
     """
     keys = list(keys)
-    df = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in values])
+    df = df.select(*keys, *inputs, *[F.col(c).cast("double").alias(c) for c in values])
     hot = large_groups(df, keys, hot_rows)
     small, large = split_by(df, hot, keys)
-    return small_aggregate(small, keys, values).unionByName(split_aggregate(large, keys, values))
+    return small_aggregate(small, keys, values, extra).unionByName(split_aggregate(large, keys, values, extra))
 
 
 def large_groups(df: DataFrame, keys: Sequence[str], hot_rows: int) -> DataFrame:
@@ -70,9 +77,11 @@ def split_by(
 ) -> tuple[DataFrame, DataFrame]:
     """``(rows of other groups, rows of hot groups)``.
 
-    The list of hot keys grows with the data, so it carries no broadcast hint: AQE checks its size.
+    The list of hot keys is broadcast, as it has one row for every ``hot_rows`` rows at most. Without the hint
+    all rows would move to the few partitions of their keys and be sorted there: AQE does not broadcast a
+    table whose partitions are mostly empty, which a short list always is.
     """
-    listed = hot.selectExpr(*[f"{k} AS hot_{k}" for k in keys])
+    listed = F.broadcast(hot.selectExpr(*[f"{k} AS hot_{k}" for k in keys]))
     same = F.expr(" AND ".join(f"{k} <=> hot_{k}" for k in keys))
     return df.join(listed, same, "left_anti"), df.join(listed, same, "left_semi")
 
@@ -90,22 +99,30 @@ def split_aggregate(
 ) -> DataFrame:
     """Same result as :func:`small_aggregate` without ever holding one group in one task.
 
-    Equal values are counted first, then counted again by a coarse digit of the value. The
-    digit counts of a group say in which digit a rank falls and how many values lie below it,
-    so only the distinct values of that one digit have to be ordered.
+    Values are counted by a coarse digit first. The digit counts of a group say in which digit a
+    rank falls and how many values lie below it, so only the values of that one digit are counted
+    one by one and ordered: a task holds digits, whose number is bounded, and no other values.
     """
     keys, prefixes = list(keys), list(values.values())
     totals = df.groupBy(*keys).agg(*_size_and_peak(values), *extra)
     pairs = ", ".join(f"'{p}', {c}" for c, p in values.items())
-    counts = (
+    stacked = (
         df.select(*keys, F.expr(f"stack({len(values)}, {pairs}) AS (metric, value)"))
         .filter("value IS NOT NULL")
-        .groupBy(*keys, "metric", "value")
+        .select("*", F.expr(f"{_DIGIT} AS digit"))
+    )
+    group = [*keys, "metric", "digit"]
+    targets = _targets(stacked.groupBy(*group).agg(F.expr("count(1) AS in_digit")), keys)
+    # a row for each rank of a hot group at most, so as few as the list of hot keys
+    wanted = F.broadcast(targets.select(*[f"t_{k}" for k in group]))
+    counts = (
+        stacked.join(wanted, _same_digit(keys), "left_semi")
+        .groupBy(*group, "value")
         .agg(F.expr("count(1) AS weight"))
     )
     names = [f"{p}_{rank}" for p in prefixes for rank in RANKS]
     kept = [c for c in totals.columns if c not in keys]
-    ranks = counted_ranks(counts, keys, prefixes)
+    ranks = _ranks(counts, targets, keys, prefixes)
     return totals.join(
         ranks, F.expr(" AND ".join(f"{k} <=> r_{k}" for k in keys)), "left"
     ).selectExpr(*keys, *kept, *[f"coalesce({name}, 0D) AS {name}" for name in names])
@@ -117,17 +134,21 @@ def counted_ranks(counts: DataFrame, keys: Sequence[str], prefixes: Sequence[str
     No group is held or ordered as a whole, only the distinct values of a digit that holds a rank.
     """
     keys = list(keys)
-    group = [*keys, "metric"]
     counts = counts.select("*", F.expr(f"{_DIGIT} AS digit"))
+    in_digits = counts.groupBy(*keys, "metric", "digit").agg(F.expr("sum(weight) AS in_digit"))
+    return _ranks(counts, _targets(in_digits, keys), keys, prefixes)
+
+
+def _targets(in_digits: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Digits that hold a rank, from (keys, metric, digit, in_digit): ``t_<key>``, t_metric, t_digit, below, rank_name, rank."""
+    group = [*keys, "metric"]
     by_group = ", ".join(group)
     wanted = ", ".join(
         f"struct('{rank}' AS rank_name, greatest(ceil({p}D * total), 1) AS rank)"
         for rank, p in RANKS.items()
     )
-    targets = (
-        counts.groupBy(*group, "digit")
-        .agg(F.expr("sum(weight) AS in_digit"))
-        .selectExpr(
+    return (
+        in_digits.selectExpr(
             *group,
             "digit",
             f"sum(in_digit) OVER (PARTITION BY {by_group} ORDER BY digit) AS through",
@@ -138,9 +159,18 @@ def counted_ranks(counts: DataFrame, keys: Sequence[str], prefixes: Sequence[str
         .filter("rank > below AND rank <= through")
         .selectExpr(*[f"{k} AS t_{k}" for k in [*group, "digit"]], "below", "rank_name", "rank")
     )
-    same = " AND ".join(f"{k} <=> t_{k}" for k in [*group, "digit"])
+
+
+def _same_digit(keys: Sequence[str]) -> Column:
+    return F.expr(" AND ".join(f"{k} <=> t_{k}" for k in [*keys, "metric", "digit"]))
+
+
+def _ranks(counts: DataFrame, targets: DataFrame, keys: Sequence[str], prefixes: Sequence[str]) -> DataFrame:
+    """Ranks from counted values with their digits; ``counts`` needs those of the digits of ``targets`` only."""
+    group = [*keys, "metric"]
+    by_group = ", ".join(group)
     picked = (
-        counts.join(targets, F.expr(same))
+        counts.join(targets, _same_digit(keys))
         .selectExpr(
             *group,
             "value",
