@@ -49,3 +49,15 @@ def test_compaction_drops_rows_that_expired(spark, tmp_path):
     for version in range(3):
         t.merge(table(spark, [(f"k{version}", version, version)]), version, ["k"], keep=lambda r: r.filter("day > 0"), compact_every=2)
     assert shown(t.read()) == [("k1", 1), ("k2", 2)]
+
+
+def test_a_single_part_is_read_without_comparing_versions(spark, tmp_path):
+    t = Snapshots(spark, str(tmp_path / "t"))
+    assert t.newest(["k"]) is None
+    t.append(table(spark, [("a", 1, 1), ("b", 2, 2)]), 0)
+    first = t.newest(["k"], where=lambda rows: rows.filter("day > 1"))
+    assert shown(first) == [("b", 2)]
+    assert "Join" not in first._jdf.queryExecution().optimizedPlan().toString()
+    t.append(table(spark, [("a", 5, 1)]), 1)
+    assert shown(t.newest(["k"])) == [("a", 5), ("b", 2)]
+    assert shown(t.newest(["k"], 1)) == [("a", 1), ("b", 2)]

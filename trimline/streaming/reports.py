@@ -62,7 +62,7 @@ class ReportView:
     """The tables beside the reports at ``root``, brought up to date by one batch after the other."""
 
     def __init__(self, spark: SparkSession, bronze_path: str, root: str, t: Tiering):
-        self.spark, self.bronze_path, self.t = spark, bronze_path, t
+        self.spark, self.bronze_path, self.root, self.t = spark, bronze_path, root, t
         self.buckets = Snapshots(spark, f"{root}-buckets", ["day"])
         self.hours = Snapshots(spark, f"{root}-hours", ["day"])
         self.series = Snapshots(spark, f"{root}-series")
@@ -73,18 +73,23 @@ class ReportView:
     def _new(self, table: Snapshots, version: int) -> DataFrame:
         return table.read(version + 1).filter(F.col(VERSION) == version)
 
+    def _kept(self, rows: DataFrame, name: str) -> DataFrame:
+        """``rows``, written once for all steps of a batch that read them; the next batch takes their place."""
+        path = f"{self.root}-work/{name}"
+        rows.write.mode("overwrite").parquet(path)
+        return self.spark.read.schema(rows.schema).parquet(path)
+
     def update(self, batch: DataFrame, version: int) -> DataFrame:
         """Take in a batch of samples; the current rows of all series."""
         batch = without_nulls(batch).filter("ts is not null").withColumn("ts_us", epoch_us(F.col("ts")))
-        before = self.series.read(version)
-        before = None if before is None else newest(before, _KEY)
+        before = self.series.newest(_KEY, version)
         self._touch_buckets(batch, version)
-        clocks = self._clocks(before, version)
+        clocks = self._kept(self._clocks(before, version), "clocks")
         self._close_hours(clocks, version)
         metadata = self._metadata(batch, before)
         rows = clocks.drop("before_us").join(self._summary(clocks), _KEY).join(metadata, _KEY)
         self.series.merge(rows, version, _KEY)
-        return newest(self.series.read(version + 1), _KEY)
+        return self.series.newest(_KEY, version + 1)
 
     def _retained(self, start: str):
         """Keeps buckets of the retention of their series; used when a table is compacted."""
@@ -98,8 +103,8 @@ class ReportView:
     def _touch_buckets(self, batch: DataFrame, version: int) -> None:
         t = self.t
         touched = batch.withColumn("bucket_us", floor_us(F.col("ts_us"), t.fine_seconds))
-        touched = touched.select(*_KEY, "bucket_us", F.to_date(F.timestamp_micros("bucket_us")).alias("day")).distinct()
         samples = self._bronze(_days(touched, "bucket_us"))
+        touched = touched.select(*_KEY, "bucket_us", F.to_date(F.timestamp_micros("bucket_us")).alias("day")).distinct()
         if t.mode == EXACT:
             rows = exact_buckets(samples, touched, t)
         else:
@@ -127,9 +132,14 @@ class ReportView:
         opened = clocks.filter("before_us is not null").select(*_KEY, F.explode(left_open).alias("hour_us"))
         now = clocks.select(*_KEY, Edges(self.t, F.col("clock_us")).closed.alias("closed_us"))
         pairs = touched.unionByName(opened).distinct().join(now, _KEY).filter("hour_us < closed_us").drop("closed_us")
-        fine = self.buckets.read(version + 1).filter(F.col("day").isin(_days(pairs, "hour_us")))
-        fine = fine.withColumn("hour_us", floor_us(F.col("bucket_us"), width)).join(pairs, [*_KEY, "hour_us"], "left_semi")
-        merged = newest(fine, [*_KEY, "bucket_us"]).groupBy(*_KEY, "hour_us", "day").agg(
+        pairs = self._kept(pairs, "hours")
+        days = _days(pairs, "hour_us")
+
+        def of_pairs(fine: DataFrame) -> DataFrame:
+            fine = fine.filter(F.col("day").isin(days)).withColumn("hour_us", floor_us(F.col("bucket_us"), width))
+            return fine.join(pairs, [*_KEY, "hour_us"], "left_semi")
+
+        merged = self.buckets.newest([*_KEY, "bucket_us"], version + 1, of_pairs).groupBy(*_KEY, "hour_us", "day").agg(
             F.sum("n").alias("n"),
             *[F.sum(c).alias(c) if c.endswith("wsum") else F.max(c).alias(c) for c in _MERGED],
             F.min("bucket_us").alias("first_bucket_us"),
@@ -145,7 +155,8 @@ class ReportView:
         ).withColumn("from_us", F.least("oldest_us", "mixed_us"))
         columns = [*_KEY, "n", *_MERGED, "start_us", "end_us", "from_us", "to_us"]
 
-        hours = newest(self.hours.read().filter(F.col("day").isin(_days(clocks, "from_us", "clock_us"))), [*_KEY, "hour_us"])
+        days = _days(clocks, "from_us", "clock_us")
+        hours = self.hours.newest([*_KEY, "hour_us"], where=lambda rows: rows.filter(F.col("day").isin(days)))
         hours = hours.join(clocks.drop("from_us"), _KEY).filter("hour_us < closed_us and hour_us != mixed_us")
         is_fine = F.col("hour_us") > F.col("mixed_us")
         hours = hours.filter(is_fine | (F.col("hour_us") >= F.col("oldest_us")))
@@ -155,9 +166,12 @@ class ReportView:
 
         days = sorted({*_days(clocks, "mixed_us"), *_days(clocks, "closed_us", "tail_us")})
         hour = floor_us(F.col("bucket_us"), t.coarse_seconds)
-        fine = self.buckets.read().filter(F.col("day").isin(days)).join(clocks.drop("from_us"), _KEY)
-        fine = fine.filter(((hour == F.col("mixed_us")) | (hour >= F.col("closed_us"))) & (F.col("bucket_us") < F.col("tail_us")))
-        fine = newest(fine, [*_KEY, "bucket_us"])
+        edge = ((hour == F.col("mixed_us")) | (hour >= F.col("closed_us"))) & (F.col("bucket_us") < F.col("tail_us"))
+
+        def at_edges(rows: DataFrame) -> DataFrame:
+            return rows.filter(F.col("day").isin(days)).join(clocks.drop("from_us"), _KEY).filter(edge)
+
+        fine = self.buckets.newest([*_KEY, "bucket_us"], where=at_edges)
         # a settled bucket has the tier of any sample in it; its start is one such time
         fine = assign_tier(fine.withColumn("ts_us", F.col("bucket_us")).drop("bucket_us"), t).filter(F.col("tier").isin(FINE, COARSE))
 

@@ -47,11 +47,10 @@ def exact_buckets(samples: DataFrame, touched: DataFrame, t: Tiering) -> DataFra
     ts = epoch_us(F.col("ts"))
     rows = without_nulls(samples).withColumn("bucket_us", floor_us(ts, t.fine_seconds))
     rows = rows.join(touched, [*_KEY, "day"], "left_semi")
-    edges = rows.groupBy(*_KEY).agg(F.min(ts).alias("first_us"), F.max(ts).alias("last_us"))
-    ranked = metric_aggregate(rows, list(_KEY), METRICS)
+    edges = [F.min("ts_us").alias("first_us"), F.max("ts_us").alias("last_us")]
+    ranked = metric_aggregate(rows.withColumn("ts_us", ts), list(_KEY), METRICS, extra=edges, inputs=["ts_us"])
     return (
-        ranked.join(edges, list(_KEY))
-        .withColumns({f"{p}_wsum": F.col(f"{p}_p50") * F.col("n") for p in PREFIXES})
+        ranked.withColumns({f"{p}_wsum": F.col(f"{p}_p50") * F.col("n") for p in PREFIXES})
         .withColumn("day", F.to_date(F.timestamp_micros("bucket_us")))
     )
 

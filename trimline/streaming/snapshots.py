@@ -79,6 +79,19 @@ class Snapshots:
         found = self._load(manifests[-1])
         return self._rows(found["parts"], T.StructType.fromJson(found["schema"]))
 
+    def newest(
+        self, keys: Sequence[str], before: int | None = None, where: Callable[[DataFrame], DataFrame] = lambda rows: rows
+    ) -> DataFrame | None:
+        """The newest row of each key of the newest version (before ``before``); ``where`` keeps rows by their keys.
+
+        A single part has one row for each key, so nothing is compared.
+        """
+        rows = self.read(before)
+        if rows is None:
+            return None
+        rows = where(rows)
+        return rows if len(self.parts(before)) == 1 else newest(rows, keys)
+
     def _rows(self, parts: list[str], schema: T.StructType) -> DataFrame:
         root = f"{self.path}/parts"
         # a part may be empty, so the schema comes from the manifest

@@ -23,7 +23,7 @@ from trimline.operators.percentiles import metric_aggregate
 from trimline.params import EXACT, INCREMENTAL, Sizing, Tiering
 from trimline.plans import report, rightsize, views
 from trimline.schemas import METRICS, POD_LIST_DOCUMENT, SERIES, SPEC_KEY, USAGE_DOCUMENT
-from trimline.scratch import place
+from trimline.scratch import place, written
 from trimline.sources import bronze, kubelet, reports
 from trimline.sources import gitops as gitops_documents
 from trimline.streaming.buckets import (
@@ -844,7 +844,7 @@ def _periodic_report(spark: SparkSession, sf: str) -> str:
     """Run the report stream over a bronze table of enriched samples; the path of the reports."""
     folder = place(spark, "reports")
     specs = enrich.parse_specs(view(spark, sf, "fx_pod_specs"))
-    enriched = enrich.enrich_samples(view(spark, sf, "fx_samples"), specs)
+    enriched = written(enrich.enrich_samples(view(spark, sf, "fx_samples"), specs), "enriched")
     # three batches: all but late samples and the last days, then the late ones, then the rest
     late, last = F.col("seq") % 5 == 0, F.col("ts") >= F.lit("2024-01-25").cast("timestamp_ntz")
     for part in (~late & ~last, late & ~last, last):
