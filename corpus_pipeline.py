@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trimline.llm import bpe, exact_dedup, language_id, mixing
+from trimline.llm import bpe, exact_dedup, language_id, mixing, simhash
 from trimline.llm import near_copies as near
 from trimline.llm.queries import vocabulary_file
 from trimline.llm.tables import table
@@ -38,8 +38,13 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (five-word shingles, Jaccard >= 0.8), the document with the smallest id stays."""
-    return near.without_near_copies(docs)
+    """Of each group of near copies (five-word shingles, Jaccard >= 0.8), the document with the smallest id stays.
+
+    SimHash fingerprints of these shingles within two bits (general pigeonhole) name the first candidates; an exact check
+    follows, and bands find the near copies whose fingerprints lie further apart.
+    """
+    linked = simhash.near_duplicates(docs, words=near.WORDS)
+    return near.without_near_copies(docs, linked=linked)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -6,7 +6,7 @@ import duckdb
 import pytest
 
 import corpus_pipeline
-from trimline.llm import exact_dedup, near_copies
+from trimline.llm import exact_dedup, near_copies, simhash
 
 
 def _set(text):
@@ -89,5 +89,20 @@ def test_a_group_that_no_pivot_joins_is_compared_in_blocks(spark, block, monkeyp
     assert sorted(r.doc_id for r in near_copies.without_near_copies(docs, pairs=4).collect()) == sorted(stay)
 
 
+def test_stage_takes_links_of_fingerprints_and_checks_them(spark, monkeypatch):
+    """Without any band the stage still finds near copies within two bits; texts within two bits that are not near stay."""
+    monkeypatch.setattr(near_copies, "bands", lambda similar=0.8: 0)
+    words = [f"w{i}" for i in range(600)]
+    again = " ".join(f"r{i}" for i in range(9)) + " "
+    tails = [" ".join(f"{x}{i}" for i in range(40)) for x in "yz"]
+    texts = {1: " ".join(words), 2: " ".join([*words[:-1], "x"]), 3: again * 300 + tails[0], 4: again * 300 + tails[1], 5: "alone " + tails[0][::-1]}
+    prints = {i: simhash.fingerprint(t, words=5) for i, t in texts.items()}
+    assert (prints[1] ^ prints[2]).bit_count() <= 2 and (prints[3] ^ prints[4]).bit_count() <= 2
+    sets = {i: _set(t) for i, t in texts.items()}
+    assert _near(sets[1], sets[2]) and not _near(sets[3], sets[4])
+    docs = spark.createDataFrame([(i, t, "k") for i, t in texts.items()], "doc_id long, text string, source string")
+    assert sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()) == [1, 3, 4, 5]
+
+
 def test_blocks_keep_their_documented_bound():
     assert near_copies.BLOCK == 256

@@ -1,11 +1,15 @@
-"""Near copies by Jaccard similarity of word shingles: MinHash bands, exact verification, components.
+"""Near copies by Jaccard similarity of word shingles: SimHash links, MinHash bands, exact verification, components.
 
 Two documents are near copies if the sets of their shingles (``words`` words, ASCII lower case) have a
 Jaccard similarity of at least ``SIMILAR``. Candidates share one of ``bands()`` bands of ``ROWS`` minima:
 as many as find a pair at the threshold with a probability of ``FOUND``, and a more similar pair with a
 higher one. Every candidate is verified on its whole sets, so nothing is joined by chance; groups are the
-connected components of the verified links. (Fingerprints are no filter here: texts at the threshold differ
-in 17 of 64 bits and more, where few pairs of any two texts could be ruled out.)
+connected components of the verified links.
+
+The first candidates are the components of another operator (``linked``; the pipeline gives those of SimHash
+fingerprints within two bits): each member is verified against the component's smallest id, and what is near is one
+group before the first band is looked at. Fingerprints are no filter for the rest: texts at the threshold differ in 17 of
+64 bits and more, where few pairs of any two texts could be ruled out, so bands find what lies beyond the two bits.
 
 A bucket is the documents that share a band. Bands are worked in phases of 1, 3, 12, ... bands: in the first one a
 document has one bucket, and what it joins needs no comparison later. In each phase the members of a bucket that are
@@ -163,6 +167,17 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
     return sided.mapInPandas(check, "a long, b long").distinct()
 
 
+def _moved(roots: DataFrame, near: DataFrame) -> DataFrame:
+    """``roots`` after the links ``near`` (a, b) between them; tables that are done with are discarded."""
+    if near.limit(1).count():
+        upper = components(near).select(F.col("node").alias("root"), F.col("root").alias("top"))
+        moved = written(roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
+        discard(roots)
+        roots = moved
+    discard(near)
+    return roots
+
+
 def groups(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -171,8 +186,12 @@ def groups(
     similar: float = SIMILAR,
     pairs: int = PAIRS,
     rounds: int = ROUNDS,
+    linked: DataFrame | None = None,
 ) -> DataFrame:
-    """(node, root) of every document with a near copy; ``root`` is the smallest id of its group."""
+    """(node, root) of every document with a near copy; ``root`` is the smallest id of its group.
+
+    ``linked`` has candidates of another operator: doc_id, and component_id, the doc_id of another member or its own.
+    """
     bound_batches(docs)
     count = bands(similar)
     factors, shifts = _functions(count * ROWS)
@@ -196,11 +215,20 @@ def groups(
     flat = keyed.select("node", F.col("s.size").alias("size"), F.posexplode("s.k").alias("band", "key")).distinct()
     shared = flat.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x != y").select("key")
     buckets = written(flat.join(shared, "key", "left_semi"), "buckets")
-    chosen = written(buckets.select("node").distinct(), "candidates")
+    chosen, aided = buckets.select("node"), None
+    if linked is not None:
+        pairs_of = linked.filter("component_id != doc_id").select(
+            F.col("component_id").alias("pivot"), F.col("component_id").alias("ra"), F.col("doc_id").alias("b"), F.col("doc_id").alias("rb")
+        )
+        aided = written(pairs_of.distinct(), "pairs")
+        chosen = chosen.unionByName(aided.select(F.explode(F.array("pivot", "b")).alias("node")))
+    chosen = written(chosen.distinct(), "candidates")
     sets = texts.join(chosen, "node", "left_semi").select("node", hashed.asNondeterministic()("t").alias("grams"))
     sets = written(sets, "shingles")
 
     roots = written(chosen.select("node", F.col("node").alias("root")), "roots")
+    if aided is not None:
+        roots = _moved(roots, written(_verified(aided, sets, similar), "near"))
     fits = F.least("size", "p_size") >= similar * F.greatest("size", "p_size") - 1e-9
     for first, after in phases(count):
         members = buckets.filter((F.col("band") >= first) & (F.col("band") < after)).select("key", "node", "size")
@@ -220,14 +248,10 @@ def groups(
             tried = written(aimed.distinct(), "pairs")
             blocks = _blocks(opened.filter("full"), sets, similar)
             # links are drawn between the components so far
-            linked = written(_verified(tried, sets, similar).unionByName(blocks), "near")
-            if linked.limit(1).count():
-                upper = components(linked).select(F.col("node").alias("root"), F.col("root").alias("top"))
-                moved = written(roots.join(upper, "root", "left").select("node", F.coalesce("top", "root").alias("root")), "roots")
-                discard(roots)
-                roots = moved
+            near = written(_verified(tried, sets, similar).unionByName(blocks), "near")
+            roots = _moved(roots, near)
             members = written(opened.filter("not full and node != pivot").select("key", "node", "size"), "buckets")
-            for table in (opened, tried, linked):
+            for table in (opened, tried):
                 discard(table)
     return roots
 
