@@ -61,7 +61,8 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("part"),
         F.col("_metadata.row_index").alias("row"),
     )
-    encoded = bpe.encode(rows, vocabulary).drop("text")
+    # written in between, as two Python functions in one task are two workers, each with the vocabulary
+    encoded = written(bpe.encode(rows, vocabulary).drop("text"), "encoded")
     return bpe.decode(encoded, vocabulary).select(
         "doc_id",
         "part",
